@@ -355,5 +355,6 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     docs = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
-    counts = [F.size(F.filter("_pii.base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter("_pii.base", lambda x: x.kind == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
     return docs.select("doc_id", *counts, F.sha2(text("_pii.base"), 256).alias("base_sha256"), text("_pii.spans").alias("spans"))
