@@ -1,12 +1,12 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
 Vectors become integers, floor(scale * x). Pivots are a fixed number of the vectors (smallest hash of the id); every vector
-belongs to the cell of its nearest pivot, and a cell is cut into chunks of a bounded number of rows, so a vector that
-makes up a third of the table fills many chunks and no task. From each chunk comes a summary: its row count and its
-largest distance from the pivot. For a query q and a chunk with pivot p and radius r every inner product lies within
-q.p -+ |q| r. The chunks' lower bounds, with their counts, give a value that the k-th best score of q cannot be under;
-q goes only to chunks whose upper bound reaches it. Blocks of queries meet those chunks, each pair is
-solved by one matrix product, and the local top k of each are merged.
+belongs to the cell of its nearest pivot. From each cell comes a summary: its row count and its
+largest distance from the pivot; there are as many as pivots, whatever the table holds. For a query q and a cell with pivot p
+and radius r every inner product lies within q.p -+ |q| r. The cells' lower bounds, with their counts, give a value
+that the k-th best score of q cannot be under; q goes only to cells whose upper bound reaches it. A cell is cut into chunks of a
+bounded number of rows, so a vector that makes up a third of the table fills many chunks and no task, and queries into
+blocks of a bounded number. Blocks meet chunks, each pair is solved by one matrix product, and their top k are merged.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, as queries or as
 candidates. An empty vector has score 0 with other empty ones. Vectors meet only vectors of their own length. Rows that repeat a vec_id are
@@ -29,7 +29,9 @@ from tallylog.llm.common import written
 SCALE, TOP, EVERY = 1024, 10, 100
 PIVOTS = 64
 #: Rows of one chunk of candidates, and of one block of queries.
-CHUNK, BLOCK = 4096, 512
+CHUNK, BLOCK = 4096, 32_768
+#: Vector lengths that get pivots.
+LENGTHS = 8
 _EXACT = float(1 << 53)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -74,10 +76,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     """query_id, rank, vec_id, score of the ``k`` best rows of ``vectors`` for each row of ``queries``."""
     spark = vectors.sparkSession
     data, asked = integers(vectors, scale), integers(queries, scale).where("id IS NOT NULL")
-    centres = [r for d in [r["dim"] for r in data.select("dim").distinct().limit(1000).collect()] for r in data.where(F.col("dim") == d).orderBy(F.xxhash64("id", "v")).limit(pivots).select("dim", "v").collect()]
+    # Pivots for the most frequent lengths; vectors of any other length make up one cell around the origin.
+    lengths = [r["dim"] for r in data.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
     by_dim: dict[int, np.ndarray] = {}
-    for d in {r["dim"] for r in centres}:
-        by_dim[d] = np.unique(np.array([r["v"] for r in centres if r["dim"] == d], dtype=np.float64).reshape(-1, d), axis=0)
+    for d in lengths:
+        picked = data.where(F.col("dim") == d).orderBy(F.xxhash64("id", "v")).limit(pivots).select("v").collect()
+        by_dim[d] = np.unique(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d), axis=0)
+
+    def pivots_of(d: int) -> np.ndarray:
+        return by_dim[d] if d in by_dim else np.zeros((1, d))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -85,56 +92,57 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
             dims = b["dim"].to_numpy()
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                p, x = by_dim[int(d)], _matrix(b["v"].iloc[rows])
+                p, x = pivots_of(int(d)), _matrix(b["v"].iloc[rows])
                 if d:
                     gap = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0)
                     cell[rows] = gap.argmin(1)
                     far[rows] = np.sqrt(((x - p[cell[rows]]) ** 2).sum(1))
             yield b.assign(cell=cell, far=far)
 
-    if not by_dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     cells = written(data.mapInPandas(nearest, "id long, v array<double>, dim int, cell int, far double"))
-    # Rows of a cell are dealt to chunks at random, as many as its count asks for.
-    counts = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
-    chunks = counts.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).select("dim", "cell", "parts")
-    dealt = cells.join(F.broadcast(chunks), ["dim", "cell"])
-    spread = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("parts")).cast("int")
-    dealt = written(dealt.withColumn("part", spread).select("id", "v", "dim", "cell", "part", "far"))
-    # One row a chunk: at most PIVOTS cells a length, and n / CHUNK more.
-    summary = dealt.groupBy("dim", "cell", "part").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("far").alias("r"))
+    summary = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
     facts = {d: g.reset_index(drop=True) for d, g in summary.toPandas().groupby("dim")}
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    own = cells.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    asked = written(asked.join(own, "id", "left").select("id", "v", "dim", F.coalesce("own", F.lit(0).cast("long")).alias("own")))
+    blocks = max(1, -(-asked.count() // block))
+    # Rows of a cell are dealt to its chunks at random, and each chunk meets every block of queries.
+    spread = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("parts")).cast("int")
+    dealt = cells.join(F.broadcast(summary.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("part", spread)
+    dealt = written(dealt.select("id", "v", "dim", "cell", "part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query once for every chunk that may hold one of its k best."""
+        """Each query once for every cell that may hold one of its k best."""
         for b in batches:
             for d, own in b.groupby("dim"):
                 if d not in facts:
                     continue
                 f, q = facts[d], _matrix(own["v"])
                 size = np.sqrt((q * q).sum(1))[:, None]
-                mid = q @ by_dim[d][f["cell"].to_numpy()].T if d else np.zeros((len(q), len(f)))
-                slack = size * f["r"].to_numpy()[None] * (1 + 1e-9) + 1
+                mid = q @ pivots_of(d)[f["cell"].to_numpy()].T if d else np.zeros((len(q), len(f)))
+                far = np.sqrt((pivots_of(d)[f["cell"].to_numpy()] ** 2).sum(1))
+                slack = size * f["r"].to_numpy()[None] * (1 + 1e-9) + size * far[None] * 1e-12 + 1  # and what floats round off
                 low, high = mid - slack, mid + slack
                 order = np.argsort(-low, axis=1, kind="stable")
                 held = np.cumsum(f["n"].to_numpy()[order], axis=1)
-                # k + 1, as the query itself may be among them.
-                reached = (held >= k + 1).argmax(axis=1)
-                least = np.where(held[:, -1] >= k + 1, np.take_along_axis(low, order, 1)[np.arange(len(q)), reached], -np.inf)
+                # The query's own rows may be among them.
+                enough = held >= k + own["own"].to_numpy()[:, None]
+                reached = enough.argmax(axis=1)
+                least = np.where(enough[:, -1], np.take_along_axis(low, order, 1)[np.arange(len(q)), reached], -np.inf)
                 at, to = np.nonzero(high >= least[:, None])
                 for lo in range(0, len(at), 4096):
                     i, j = at[lo : lo + 4096], to[lo : lo + 4096]
-                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "part": f["part"].to_numpy()[j], "id": own["id"].to_numpy()[i], "v": [own["v"].iloc[x] for x in i]})
+                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "parts": f["parts"].to_numpy()[j], "id": own["id"].to_numpy()[i], "v": [own["v"].iloc[x] for x in i]})
 
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).select("id", "v", "dim")
-    sent = asked.mapInPandas(needed, "dim int, cell int, part int, id long, v array<double>")
+    sent = asked.mapInPandas(needed, "dim int, cell int, parts int, id long, v array<double>")
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def solve(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         ids = x["id"].fillna(_NO_ID).to_numpy(np.int64)
         m = _matrix(x["v"])
-        for lo in range(0, len(q) if len(x) else 0, block):
-            part = q.iloc[lo : lo + block]
+        for lo in range(0, len(q) if len(x) else 0, 256):
+            part = q.iloc[lo : lo + 256]
             own = part["id"].to_numpy(np.int64)
             s = _products(_matrix(part["v"]), m)
             for i, row in enumerate(s):
@@ -145,7 +153,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                 out["score"] += row[best].tolist()
         return pd.DataFrame(out).astype("int64")
 
-    local = sent.groupBy("dim", "cell", "part").cogroup(dealt.select("dim", "cell", "part", "id", "v").groupBy("dim", "cell", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    keys = ["dim", "cell", "part", "block"]
+    local = sent.groupBy(*keys).cogroup(dealt.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("vec_id") != int(_NO_ID), F.col("vec_id")).alias("vec_id"), "score")
