@@ -73,6 +73,17 @@ def with_row_key(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({"_k1": k1, "_k2": k2})
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``_row``, a struct of all other columns, so that no name of theirs can clash with one of ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of what was :func:`packed`, in their order."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,19 +96,19 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that an edge touches; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps (each a partial aggregate and one join, which
-    adaptive execution splits when a centre is hot). Every round is written to the shared folder, and the
+    Alternates large-star and small-star steps: each a partial aggregate, which is written, and one join of two plain
+    tables, which adaptive execution splits when a centre is hot. Every round is written to the shared folder, and the
     rounds end when the edges no longer change. Nothing but two counters comes to the driver.
     """
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = _fingerprint(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
         # Large star: every neighbour above the centre is tied to the smallest node around it.
         e = both.join(low, both.u == low.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the neighbours below and the centre itself are tied to the smallest of them.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")))
         star = e.join(low.withColumnRenamed("u", "c"), e.u == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(star.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         before, state = state, _fingerprint(e)

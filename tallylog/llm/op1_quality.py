@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import small_batches
+from tallylog.llm.common import packed, small_batches, unpacked
 
 #: Labelled rows that a fit may use.
 SAMPLE = 20_000
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score at least 0.5."""
-    return score(docs, learn(docs, labels)).where("_score >= 0.5").select(*docs.columns)
+    return unpacked(score(packed(docs), learn(docs, labels)).where("_score >= 0.5"), docs.columns)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallylog.llm.common import lower_ascii, with_row_key, written
+from tallylog.llm.common import lower_ascii, packed, unpacked, with_row_key, written
 
 WINDOW = 10
 #: Words of benchmark terms up to which the anchors are broadcast; beyond it they are joined by shuffle.
@@ -120,9 +120,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit."""
-    keyed = with_row_key(docs, "doc_id", "text")
+    keyed = with_row_key(packed(docs), "doc_id", "text")
     hits, _ = phrase_matches(keyed.select("_k1", "_k2", "text"), items, size)
-    return keyed.join(hits.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return unpacked(keyed.join(hits.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti"), docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import connected_components, small_batches, union, with_row_key, written
+from tallylog.llm.common import connected_components, packed, small_batches, union, unpacked, with_row_key, written
 
 BITS = 64
 #: Differing bits up to which two fingerprints link.
@@ -124,7 +124,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, h
     if max_bits % 2:
         raise ValueError("max_bits must be even: midpoints lie half way")
     keyed = distinct.select(F.col("fingerprint").alias("f"), keys(F.col("fingerprint"), blocks, max_bits).alias("k")).select("f", "k.t", "k.key")
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below reads two plain tables and a hot key can be split.
+    shared = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = written(keyed.join(shared, ["t", "key"]))
     few = met.where(F.col("n") <= hot_key)
     a, b = few.select("t", "key", F.col("f").alias("a")), few.select("t", "key", F.col("f").alias("b"))
@@ -133,7 +134,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, h
     pairs = a.join(b, (a.t == b.t) & (a.key == b.key) & close).select("a", "b")
     hot = met.where(F.col("n") > hot_key).select("f").distinct()
     ball = hot.select("f", _midpoints(F.col("f"), max_bits // 2).alias("m"))
-    low = ball.groupBy("m").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("m", "a")
+    low = written(ball.groupBy("m").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("m", "a"))
     far = ball.join(low, "m").where("f <> a").select("a", F.col("f").alias("b")).distinct()
     return union([pairs, far])
 
@@ -161,7 +162,7 @@ def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks
     """
     rows = _labelled(docs, size, max_bits, blocks, hot_key)
     best = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("best")).select("best._k1", "best._k2")
-    return with_row_key(docs, "doc_id", "text").join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    return unpacked(with_row_key(packed(docs), "doc_id", "text").join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import digest128, lower_ascii
+from tallylog.llm.common import digest128, lower_ascii, packed, unpacked, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -37,24 +37,29 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     kept = F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), _digest))
     lines = docs.select("doc_id", F.explode(kept).alias("h")).select("doc_id", "h.h1", "h.h2")
     counts = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.where(F.col("n") >= min_docs).select("h1", "h2")
-    return lines.join(common, ["h1", "h2"]).select("doc_id", "h1", "h2").distinct()
+    # Written, so that the join reads two plain tables: a small one is broadcast, and a hot line can be split.
+    common = written(counts.where(F.col("n") >= min_docs).select("h1", "h2"))
+    return lines.join(common, ["h1", "h2"]).select("doc_id", "h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and _n_lines and _n_dropped (long)."""
-    gone = common_lines(docs, min_docs, min_chars).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), "_gone")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+def counted_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text (cut), n_lines, n_dropped and ``_row``, a struct of the other columns of ``docs``."""
+    gone = common_lines(docs, min_docs, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    out = packed(docs).join(gone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    stays = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _digest(_key(x))) | (F.char_length(_key(x)) < min_chars)))
-    out = out.withColumns({"_n_lines": F.size(lines).cast("long"), "_stays": stays})
-    return out.withColumns({"text": F.array_join("_stays", "\n"), "_n_dropped": F.col("_n_lines") - F.size("_stays")}).drop("_gone", "_id", "_stays")
+    stays = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _digest(_key(x))) | (F.char_length(_key(x)) < min_chars)))
+    out = out.select("doc_id", "_row", F.size(lines).cast("long").alias("n_lines"), stays.alias("stays"))
+    return out.select("doc_id", F.array_join("stays", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"), "_row")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows and columns of ``docs`` with ``text`` cut."""
+    return unpacked(counted_lines(docs, min_docs, min_chars), docs.columns)
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return counted_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP9_SQL = r"""
