@@ -10,7 +10,8 @@ filed under its window's smallest k-gram (its anchor), and equal strings meet in
    mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours that share ``length`` bytes are repeats; the bytes are compared, so a hash collision is noticed, and another base
    is taken. Groups are dealt by anchor. An anchor with more than ``hot_anchor`` different runs is not sorted in one
-   task: its windows are counted by 128-bit digests, a partial aggregate over all tasks.
+   task. Its runs are cut into short ones of ``STEP`` starts, which all share a core of ``length`` - STEP + 1 bytes; short runs are
+   dealt and counted by the core's digest, and only where one core has different edges single windows are counted.
 
 Defined results: texts are UTF-8 bytes; a null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each
 other; null ids keep their rows. Strings are judged on the input, overlaps count, and matches never cross texts.
@@ -33,6 +34,8 @@ LENGTH = 400
 GRAM = 32
 #: Different runs of one anchor from which windows are counted instead of sorted.
 HOT_ANCHOR = 512
+#: Starts of a short run, into which the runs of such an anchor are cut.
+STEP = 16
 #: Bytes that are taken in hand at a time; longer texts are cut into pieces that overlap by ``length`` - 1.
 PIECE = 2 << 20
 _PLACE = np.uint64((1 << 23) - 1)
@@ -233,16 +236,21 @@ _FETCHED = "key long, _k1 long, _k2 long, n long, lo long, hi long, off int, par
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of one run for each row of ``wanted``."""
-    lists = wanted.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("key", "n", "lo", "hi", "off")).alias("runs"))
+    one = F.array(*[F.col(c).cast("long") for c in ("key", "n", "lo", "hi", "off")])
+    lists = wanted.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list(one)).alias("runs"))
     rows = docs.select("_k1", "_k2", "text").join(lists, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k1, k2, text, own in zip(b["_k1"], b["_k2"], b["text"], b["runs"], strict=True):
-                raw = _bytes(text)
-                for at in range(0, len(own), 4096):
-                    some = own[at : at + 4096]
-                    yield pd.DataFrame({"key": [r["key"] for r in some], "_k1": k1, "_k2": k2, "n": [r["n"] for r in some], "lo": [r["lo"] for r in some], "hi": [r["hi"] for r in some], "off": [r["off"] for r in some], "part": [raw[r["lo"] : r["hi"] + length] for r in some]})
+            each = [np.asarray(r, dtype=np.int64).reshape(-1, 5) for r in b["runs"]]
+            count = np.array(list(map(len, each)))
+            k1, k2, raws = np.repeat(b["_k1"].to_numpy(), count), np.repeat(b["_k2"].to_numpy(), count), [_bytes(t) for t in b["text"]]
+            all_ = np.concatenate(each) if each else np.zeros((0, 5), dtype=np.int64)
+            which = np.repeat(np.arange(len(each)), count)
+            for at in range(0, len(all_), 4096):
+                x = all_[at : at + 4096]
+                part = [raws[i][lo : hi + length] for i, lo, hi in zip(which[at : at + 4096].tolist(), x[:, 2].tolist(), x[:, 3].tolist(), strict=True)]
+                yield pd.DataFrame({"key": x[:, 0], "_k1": k1[at : at + 4096], "_k2": k2[at : at + 4096], "n": x[:, 1], "lo": x[:, 2], "hi": x[:, 3], "off": x[:, 4].astype(np.int32), "part": part})
 
     return rows.mapInPandas(cut, _FETCHED)
 
@@ -283,6 +291,11 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
         group = np.unique(rows["key"].to_numpy(np.int64), return_inverse=True)[1]
         ahead = off[which] - step
         classes = group[which].astype(np.int64) * (length + 1) + ahead
+        # Starts that stand alone in their class by the hash of all but the last bytes need no sorting.
+        s = Suffixes(data, _BASES[0])
+        near = max(1, length - STEP)
+        head = (s.prefix[starts + near] - s.prefix[starts]) * s.power[len(data) - starts]
+        classes = (head * np.uint64(_BASES[1])).view(np.int64) ^ classes
         by = np.argsort(classes, kind="stable")
         found = np.zeros(len(which), dtype=bool)
         edge = np.concatenate([[True], np.diff(classes[by]) != 0])
@@ -306,29 +319,51 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
 
 
 def _counted_spans(fetched: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many different runs: each window's digest is counted."""
+    """The same for anchors with very many different runs, counted over all tasks."""
+    digest = xxhash.xxh3_128_digest
+
+    def short_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, hashes = [], []
+            for k1, k2, n, lo, hi, off, part in zip(b["_k1"], b["_k2"], b["n"], b["lo"], b["hi"], b["off"], b["part"], strict=True):
+                # Starts by their distance from the anchor: those of one step share all but their edges.
+                for j in range((off - hi + lo) // STEP, off // STEP + 1):
+                    s, e = max(0, off - j * STEP - STEP + 1), min(hi - lo, off - j * STEP)
+                    core = off - j * STEP
+                    own = part[s : e + length]
+                    hashes += [digest(part[core : core + length - STEP + 1], j), digest(own, core - s)]
+                    rows.append((k1, k2, n, lo + s, lo + e, own))
+            if rows:
+                c = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 4)
+                yield pd.DataFrame(rows, columns=["_k1", "_k2", "n", "lo", "hi", "part"]).assign(c1=c[:, 0], c2=c[:, 1], d1=c[:, 2], d2=c[:, 3])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k1, k2, n, lo, part in zip(b["_k1"], b["_k2"], b["n"], b["lo"], b["part"], strict=True):
-                digest = xxhash.xxh3_128_digest
-                w = np.frombuffer(b"".join(digest(part[i : i + length]) for i in range(len(part) - length + 1)), dtype=np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "_k1": k1, "_k2": k2, "n": n, "s": lo + np.arange(len(w))})
+            parts = b["part"].tolist()
+            count = np.array([len(p) - length + 1 for p in parts], dtype=np.int64)
+            w = np.frombuffer(b"".join(digest(p[i : i + length]) for p in parts for i in range(len(p) - length + 1)), dtype=np.int64).reshape(-1, 2)
+            step = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+            yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1]} | {c: np.repeat(b[c].to_numpy(), count) for c in ("_k1", "_k2", "n")} | {"s": np.repeat(b["lo"].to_numpy(), count) + step})
 
-    w = fetched.mapInPandas(windows, "w1 long, w2 long, _k1 long, _k2 long, n long, s long")
-    many = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2")
-    return w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e"))
+    short = written(fetched.mapInPandas(short_runs, "_k1 long, _k2 long, n long, lo long, hi long, part binary, c1 long, c2 long, d1 long, d2 long"))
+    kinds = written(short.groupBy("c1", "c2", "d1", "d2").agg(F.sum("n").alias("m")))
+    whole = short.where("n = 1").drop("part").join(kinds.where("m > 1"), ["c1", "c2", "d1", "d2"]).select("_k1", "_k2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    mixed = written(kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("c1", "c2"))
+    w = written(short.join(mixed, ["c1", "c2"]).select("_k1", "_k2", "n", "lo", "part").mapInPandas(windows, "w1 long, w2 long, _k1 long, _k2 long, n long, s long"))
+    many = written(w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2"))
+    return whole.unionByName(w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e")))
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(_k1, _k2, s, e): byte spans covered by repeated strings. They overlap, and one may come more than once."""
     every = written(anchored(keyed, length, gram))
-    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    # Aggregates are written before they are joined, so that joins read two plain tables and a hot anchor can be split.
+    often = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     shared = written(every.join(often, "key"))
     kinds = written(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k1", "_k2", "lo", "hi", "off")).alias("one")))
     copied = kinds.where("n > 1").select("key", "c1", "c2")
     whole = shared.join(copied, ["key", "c1", "c2"]).select("_k1", "_k2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     wanted = kinds.join(mixed, "key").select("key", "n", "one.*", "kinds")
     fetched = written(_fetch(keyed, wanted.drop("kinds"), length).join(mixed.where(F.col("kinds") > hot_anchor).withColumnRenamed("kinds", "hot"), "key", "left"))
     sorted_ = _sorted_spans(fetched.where("hot IS NULL").drop("hot"), length)
