@@ -9,8 +9,9 @@ kind do not ask for the best sum but for merges in the order of the scores, whic
 ``merge`` folds the same edges from best to worst over the set of boundaries that are left (a bit mask): an edge is taken
 if its ends are boundaries and just one lies inside. That gives the library's own ids.
 
-Units that are frequent in the corpus (as many as ``dictionary``, a fixed bound) are encoded once and broadcast. The others
-are encoded beside their document: documents are dealt by row key once, and the lattice needs no further exchange.
+Units that are frequent in the corpus (as many as ``dictionary``, a fixed bound; all documents are counted) are encoded once by
+the relational lattice and broadcast. The rest, mostly words of one document, go through the same lattice and fold where the
+document is read (:func:`fold_unit`), in batches: sending them or the texts through exchanges takes more disk than the texts have.
 
 Defined results: null and empty texts have no pieces. A mark that stands in a text (U+2581) is read as a space, as the library
 does. Characters without a piece become byte pieces. Units of over 62 characters, which a mask of 64 bits does not hold, and units
@@ -30,12 +31,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import small_batches, with_row_key, written
+from tallylog.llm.common import small_batches, written
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units that are encoded once and broadcast, at most.
 DICTIONARY = 400_000
+#: Other units that a worker remembers at a time.
+REMEMBERED = 100_000
 #: Characters of a unit that the fold's bit mask holds.
 LONGEST = 62
 _LETTERS = MARK + r"*(?:\p{L}+|[^" + MARK + r"\p{L}]+)|" + MARK + "+"
@@ -158,6 +161,34 @@ def lattice(words: DataFrame, keys: list[str], v: Vocabulary, fold: str = "merge
     return edges.select(*keys, "unit", F.flatten(F.transform(path, lambda p: p.ids)).alias("ids"))
 
 
+def fold_unit(unit: str, ids: dict[str, int], scores: tuple[float, ...], bytes_at: int, longest: int) -> list[int]:
+    """One unit through the lattice: its bounded substrings, those that are pieces as edges, and the merge fold over them."""
+    n = len(unit)
+    edges = []
+    for i in range(n):
+        for j in range(i + 1, min(i + longest, n) + 1):
+            p = ids.get(unit[i:j])
+            if p is not None:
+                edges.append((-scores[p], i, j, p))
+    edges.sort()
+    mask = (1 << n + 1) - 1
+    for _, i, j, _ in edges:
+        inner = mask & ((1 << j) - (1 << i + 1))
+        if inner and not inner & (inner - 1) and mask >> i & 1 and mask >> j & 1:
+            mask ^= inner
+    at = {i: (j, p) for _, i, j, p in edges if mask >> i & 1 and mask >> j & 1 and not mask & ((1 << j) - (1 << i + 1))}
+    out: list[int] = []
+    i = 0
+    while i < n:
+        if i in at:
+            i, p = at[i]
+            out.append(p)
+        else:
+            out += [bytes_at + c for c in unit[i].encode("utf-8", "replace")]
+            i += 1
+    return out
+
+
 def merge_long(unit: str, ids: dict[str, int], scores: tuple[float, ...], bytes_at: int) -> list[int]:
     """The same merges over a heap, for units of any length."""
     parts: list[str | None] = list(unit)
@@ -228,7 +259,7 @@ def frequent(docs: DataFrame, v: Vocabulary, most: int) -> DataFrame:
     return counts.where(F.col("step") >= least).select("unit")
 
 
-def encode(docs: DataFrame, v: Vocabulary | None = None, dictionary: int = DICTIONARY, fold: str = "merge", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary | None = None, dictionary: int = DICTIONARY, digest: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) for each row of ``docs``; with ``digest`` n_ids, ids_sha256 and round_trip in place of ids.
 
     ids_sha256 is that of the ids as 32-bit little-endian integers; round_trip says whether they decode to the text.
@@ -237,36 +268,36 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, dictionary: int = DICTI
     small_batches(spark)
     v = v or vocabulary()
     top = written(frequent(docs, v, dictionary))
-    known = lattice(top, [], v, fold).toArrow()
+    known = lattice(top, [], v).toArrow()
     at, flat = known["ids"].combine_chunks().offsets.to_numpy(), known["ids"].combine_chunks().flatten().to_numpy().astype("<i4").tobytes()
     book = spark.sparkContext.broadcast({u: flat[4 * a : 4 * b] for u, a, b in zip(known["unit"].to_pylist(), at, at[1:], strict=False)})
-    keyed = with_row_key(docs.select("doc_id", "text"), "doc_id", "text").repartition("_k1", "_k2")
-    rare = keyed.select("_k1", "_k2", "doc_id", F.explode(F.array_distinct(units(F.col("text"), v))).alias("unit")).join(F.broadcast(top), "unit", "left_anti")
-    keys = ["_k1", "_k2", "doc_id"]
-    own = lattice(rare.select(*keys, "unit"), keys, v, fold).groupBy(*keys).agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
-    rows = keyed.join(own.drop("doc_id"), ["_k1", "_k2"], "left").select("doc_id", "text", "rare")
+    longest, tied = v.longest, v.tied
 
     @F.pandas_udf("n_ids long, ids_sha256 string, round_trip boolean" if digest else "ids array<int>")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         find, common = regex.compile(v.unit).findall, book.value
         ids_of = {p: i for i, (p, m) in enumerate(zip(v.pieces, v.matched, strict=True)) if m}
         decode = decoder(v)
-        for texts, rares in batches:
+        rare: dict[str, bytes] = {}
+        for texts in batches:
             out = []
-            for text, own in zip(texts, rares, strict=True):
-                here = {r["unit"]: np.asarray(r["ids"], dtype="<i4").tobytes() for r in own} if own is not None else {}
+            for text in texts:
                 parts = []
                 for u in find(MARK + text.replace(" ", MARK)) if text else ():
-                    got = common.get(u) or here.get(u)
+                    got = common.get(u) or rare.get(u)
                     if got is None:
-                        got = here[u] = np.array(merge_long(u, ids_of, v.scores, v.bytes_at), dtype="<i4").tobytes()
+                        whole = len(u) > LONGEST or (tied and MARK * 2 in u)
+                        found = merge_long(u, ids_of, v.scores, v.bytes_at) if whole else fold_unit(u, ids_of, v.scores, v.bytes_at, longest)
+                        if len(rare) >= REMEMBERED:
+                            rare.clear()
+                        got = rare[u] = np.array(found, dtype="<i4").tobytes()
                     parts.append(got)
                 packed = b"".join(parts)
                 ids = np.frombuffer(packed, dtype="<i4")
                 out.append((len(ids), hashlib.sha256(packed).hexdigest(), decode(ids.tolist()) == (text or "")) if digest else ids)
             yield pd.DataFrame(out, columns=["n_ids", "ids_sha256", "round_trip"]) if digest else pd.DataFrame({"ids": out})
 
-    return rows.select("doc_id", of("text", "rare").alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", of("text").alias("x")).select("doc_id", "x.*")
 
 
 def op8_pieces(spark, sf_dir: str) -> DataFrame:
