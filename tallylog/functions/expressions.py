@@ -115,7 +115,8 @@ def eventchannel_fields(decoder: Column, log: Column) -> Column:
     """[channel, provider, event id] of an EventChannel record, else null."""
     paths = ("channel", "providerName", "eventID")
     got = F.array(*[F.get_json_object(log, f"$.win.system.{p}") for p in paths])
-    return F.when((decoder == EVENTCHANNEL_DECODER) & is_json(log), got)
+    # A null decoder must be false here, not null: else every text would be parsed.
+    return F.when(F.coalesce(decoder, F.lit("")) == EVENTCHANNEL_DECODER, F.when(is_json(log), got))
 
 
 def eventchannel_pattern(fields: Column) -> Column:

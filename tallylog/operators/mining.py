@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def mine(messages: DataFrame, config: MinerConfig | None = None, parallel: bool
         if rows:
             yield out()
 
-    mined = fed.mapInArrow(run, _OUT)
+    # Kept, as both sides of the join below read it and mining is the dear part; it can be computed again from its sorted feed.
+    mined = fed.mapInArrow(run, _OUT).persist(StorageLevel.MEMORY_AND_DISK)
     at = mined.where("digest IS NOT NULL").select("group", "cluster", "digest")
     last = mined.where("digest IS NULL").select("group", "cluster", "template")
     return at.join(last, ["group", "cluster"]).select("digest", "template")
