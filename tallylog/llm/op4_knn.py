@@ -40,7 +40,8 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(id, v, dim): vec_id and floor(scale * x) as array<double> of whole numbers, of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     sound = F.col("embedding").isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-    out = vectors.where(sound).select(F.col("vec_id").cast("long").alias("id"), F.transform(v, lambda x: x * float(scale)).alias("x"))
+    # A number stands for a null id, as pandas would turn a column with nulls to floats.
+    out = vectors.where(sound).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(int(_NO_ID))).alias("id"), F.transform(v, lambda x: x * float(scale)).alias("x"))
     return out.select("id", F.transform("x", lambda x: F.when(F.abs(x) < 9.0e15, F.floor(x).cast("double")).otherwise(x)).alias("v")).withColumn("dim", F.size("v"))
 
 
@@ -75,9 +76,9 @@ def _ranks(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, pivots: int = PIVOTS, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best rows of ``vectors`` for each row of ``queries``."""
     spark = vectors.sparkSession
-    data, asked = integers(vectors, scale), integers(queries, scale).where("id IS NOT NULL")
+    data, asked = integers(vectors, scale), integers(queries, scale).where(F.col("id") != int(_NO_ID))
     # Pivots for the most frequent lengths; vectors of any other length make up one cell around the origin.
-    lengths = [r["dim"] for r in data.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
+    lengths = [r["dim"] for r in data.where("dim > 0").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
     by_dim: dict[int, np.ndarray] = {}
     for d in lengths:
         picked = data.where(F.col("dim") == d).orderBy(F.xxhash64("id", "v")).limit(pivots).select("v").collect()
@@ -139,7 +140,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
 
     def solve(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
-        ids = x["id"].fillna(_NO_ID).to_numpy(np.int64)
+        ids = x["id"].to_numpy(np.int64)
         m = _matrix(x["v"])
         for lo in range(0, len(q) if len(x) else 0, 256):
             part = q.iloc[lo : lo + 256]
