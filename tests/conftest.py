@@ -12,7 +12,8 @@ def spark(tmp_path_factory):
 
     conf = {
         "spark.master": "local[8]",
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
+        "spark.default.parallelism": "2",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
