@@ -212,6 +212,30 @@ class Field:
             tag = np.where(live & (i > 0), back[i][np.arange(n), tag], tag)
         return [out[j, : lens[j]].tolist() for j in range(n)]
 
+    def decode_long(self, shapes: list[int]) -> list[int]:
+        """The best tags of one row of any length: scores come by slices, and a byte a tag and token is kept of the paths."""
+        t, k, r = len(shapes), len(_TAGS), max(_AROUND)
+        flat = np.full(t + 2 * r, _PAD, dtype=np.int16)
+        flat[r : r + t] = shapes
+        best = np.where(np.arange(k) % 2 + (np.arange(k) == 0) > 0, 0.0, float(_NEVER))
+        back = np.zeros((t, k), dtype=np.int8)
+        step = self.step.astype(np.float64)
+        for at in range(0, t, _MOST):
+            end = min(at + _MOST, t)
+            e = self.scores(np.stack([flat[r + a + at : r + a + end] for a in _AROUND], axis=1)[None])[0]
+            for i in range(at, end):
+                if i:
+                    paths = best[:, None] + step
+                    back[i] = paths.argmax(axis=0)
+                    best = paths.max(axis=0)
+                best = best + e[i - at]
+            best -= best.max()  # keeps the sums small; all paths lose the same
+        out, tag = [0] * t, int(best.argmax())
+        for i in range(t - 1, -1, -1):
+            out[i] = tag
+            tag = int(back[i, tag])
+        return out
+
 
 def train(table: list[tuple[str, list[tuple[str, str]]]], steps: int = 120, rate: float = 0.15, l2: float = 0.02) -> Field:
     """Maximum likelihood by forward-backward over the padded table, with Adam and an L2 penalty."""
@@ -263,7 +287,7 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
-#: Tokens of one sequence; a longer line is cut there.
+#: Tokens of a line up to which lines are decoded side by side; a longer one is decoded alone, in slices of as many.
 _MOST = 400
 _SIGNS = re.compile(r"[0-9@]")
 
@@ -273,8 +297,7 @@ def _sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
     for line in text.split("\n"):
         if _SIGNS.search(line):
             at, shapes = tokens(line)
-            for i in range(0, len(at), _MOST):
-                yield [(a + start, b + start) for a, b in at[i : i + _MOST]], shapes[i : i + _MOST]
+            yield [(a + start, b + start) for a, b in at], shapes
         start += len(line) + 1
 
 
@@ -298,9 +321,10 @@ def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
     lo = 0
     while lo < len(rows):
         hi, size = lo + 1, len(rows[lo][1])
-        while hi < len(rows) and (hi - lo + 1) * len(rows[hi][1]) <= 60_000 and len(rows[hi][1]) <= 1.3 * size + 8:
+        while hi < len(rows) and len(rows[hi][1]) <= _MOST and (hi - lo + 1) * len(rows[hi][1]) <= 60_000 and len(rows[hi][1]) <= 1.3 * size + 8:
             hi += 1
-        for (i, at, _), tags in zip(rows[lo:hi], field.decode([r[2] for r in rows[lo:hi]]), strict=True):
+        tagged = field.decode([r[2] for r in rows[lo:hi]]) if size <= _MOST else [field.decode_long(rows[lo][2])]
+        for (i, at, _), tags in zip(rows[lo:hi], tagged, strict=True):
             j = 0
             while j < len(tags):
                 if tags[j] % 2:

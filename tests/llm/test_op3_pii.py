@@ -65,3 +65,13 @@ def test_on_a_table(spark, docs_of):
     got = m.find_pii(docs_of(rows)).collect()
     assert len(got) == 5 and sorted(len(r["_pii"]["base"]) for r in got) == [0, 0, 1, 1, 1]
     assert m.find_pii(docs_of([])).count() == 0
+
+
+def test_long_lines_are_one_sequence():
+    field = m.default_field()
+    for before in (394, 396, 397, 398, 399):
+        for value, kind in (("1234 5678 9012 3456", 2), ("(555) 123-4567", 3)):
+            line = "word " * before + value + " word" * 900
+            assert m.field_spans([line], field) == [[(5 * before, kind, 5 * before + len(value))]]
+    _, shapes = m.tokens("a " * 300 + "1234-5678-9012-3456 b " * 90)
+    assert field.decode_long(shapes) == field.decode([shapes])[0]
