@@ -27,7 +27,7 @@ from tallylog.llm.common import small_batches
 
 # Element names of HTML by role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("head title script style noscript template nav header footer aside form button select option textarea label fieldset dialog menu svg math iframe object canvas audio video map".split())
+_NEVER = frozenset("head title script style noscript template nav header footer aside form button select option textarea label fieldset dialog menu iframe map".split())
 _BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SPACE = re.compile(r"[\s]+")

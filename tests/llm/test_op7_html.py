@@ -43,3 +43,8 @@ def test_on_a_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a</article>"), (None, None, None), (1, "u", "<article>a</article>"), (2, "v", "<p>" + "word " * 100_000)], "page_id long, url string, html string")
     got = extract(pages).collect()
     assert sorted(len(r["text"]) for r in got) == [0, 1, 1, 499_999] and extract(pages.limit(0)).count() == 0
+
+
+def test_text_of_math_and_fallback_content_stays():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p><video src=v><source src=w>A film.</video> <svg><title>t</title><text>Axis</text></svg></p></article>"
+    assert main_text(page) == "Let x=2 be.\n\nA film. Axis"
