@@ -15,3 +15,14 @@ def docs_of(spark):
         return df.select("doc_id", "text", *[F.lit(n).alias(n) for n in names], F.lit("en").alias("lang"))
 
     return make
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    """The smallest test tables."""
+    import os
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    return at
