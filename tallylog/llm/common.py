@@ -43,15 +43,29 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tallylog/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` once all that is computed from them has been written itself."""
+    for df in frames:
+        entry = (df.sparkSession, df.__dict__["_written_at"])
+        _remove(*entry)
+        _written.remove(entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM has gone; the cluster's own cleaning takes over
             return
 

@@ -13,25 +13,33 @@ filed under its window's smallest k-gram (its anchor), and equal strings meet in
    task. Its runs are cut into short ones of ``STEP`` starts, which all share a core of ``length`` - STEP + 1 bytes; short runs are
    dealt and counted by the core's digest, and only where one core has different edges single windows are counted.
 
+Beside the removal, which goes by bytes alone, the same steps over words (maximal runs without white space) find passages of
+``passage`` words that also stand in another document, whatever their length in bytes and the white space in them. They are reported and not
+removed. Their windows are counted as in 3, for hot and other anchors alike.
+
 Defined results: texts are UTF-8 bytes; a null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each
-other; null ids keep their rows. Strings are judged on the input, overlaps count, and matches never cross texts.
+other; null ids keep their rows. Strings are judged on the input, overlaps count, and matches never cross texts. For passages rows
+that agree in doc_id and text are one document.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import small_batches, union, with_row_key, written
+from tallylog.llm.common import discard, small_batches, union, with_row_key, written
 
 LENGTH = 400
 #: Bytes of a k-gram (a power of two, at most ``length``).
 GRAM = 32
+#: Words of a passage, and of its anchors: "over 50 words".
+PASSAGE, PASSAGE_GRAM = 51, 8
 #: Different runs of one anchor from which windows are counted instead of sorted.
 HOT_ANCHOR = 512
 #: Starts of a short run, into which the runs of such an anchor are cut.
@@ -40,6 +48,9 @@ STEP = 16
 PIECE = 2 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Kinds of units, and the bytes that stand for one in a run: a byte itself, or a word's hash.
+_BYTE, _WORD = 0, 1
+_WIDTH = (1, 8)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -47,16 +58,21 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _words(raw: bytes) -> np.ndarray:
+    """The 64-bit hash of each word. Long texts go word by word, so that no list of all words is held."""
+    found = raw.split() if len(raw) <= PIECE else (m.group() for m in re.finditer(rb"\S+", raw))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64)
+
+
 def _power(base: int, n: int) -> np.uint64:
     return np.uint64(pow(base, n, 1 << 64))
 
 
-def runs(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(h: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lo, hi, anchor, hash) of each maximal run of starts with one anchor.
 
-    ``data`` holds texts side by side; ``first`` and ``last`` are the first and last start of each.
+    ``h`` holds a hash of each unit of texts side by side; ``first`` and ``last`` are the first and last start of each.
     """
-    h = _TABLE[data]
     width = 1
     while width < gram:
         h = h[:-width] * _power(_BASES[0], width) + h[width:]
@@ -89,12 +105,12 @@ def runs(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gra
     return lo, hi, at, h[at].view(np.int64)
 
 
-def _pieces(raws: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Batches of (row, offset, bytes) of about PIECE bytes."""
+def _pieces(texts: list[bytes] | list[np.ndarray], length: int) -> Iterator[list[tuple[int, int, bytes | np.ndarray]]]:
+    """Batches of (row, offset, units) of about PIECE units."""
     batch, size = [], 0
-    for i, raw in enumerate(raws):
-        for at in range(0, max(0, len(raw) - length + 1), PIECE):
-            part = raw[at : at + PIECE + length - 1]
+    for i, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), PIECE):
+            part = text[at : at + PIECE + length - 1]
             if size and size + len(part) > PIECE + length:
                 yield batch
                 batch, size = [], 0
@@ -104,27 +120,33 @@ def _pieces(raws: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
         yield batch
 
 
-_RUN = "_k1 long, _k2 long, key long, c1 long, c2 long, lo long, hi long, off int"
+_RUN = "_k1 long, _k2 long, unit byte, key long, c1 long, c2 long, lo int, w int, off int"
 
 
-def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs of every text. ``docs`` has the row key and text. Bytes [lo, hi + length) of the text are the run's."""
+def anchored(docs: DataFrame, lengths: tuple[int, int], grams: tuple[int, int]) -> DataFrame:
+    """The runs of every text, in bytes and in words. ``docs`` has the row key and text; units [lo, lo + w - 1 + length) are the run's."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raws = [_bytes(t) for t in b["text"]]
-            k1, k2 = b["_k1"].to_numpy(np.int64), b["_k2"].to_numpy(np.int64)
-            for batch in _pieces(raws, length):
-                joined = b"".join(p for _, _, p in batch)
-                sizes = np.array([len(p) for _, _, p in batch])
-                first = np.concatenate([[0], sizes.cumsum()[:-1]])
-                lo, hi, at, key = runs(np.frombuffer(joined, dtype=np.uint8), first, first + sizes - length, length, gram)
-                digest = xxhash.xxh3_128_digest
-                both = np.frombuffer(b"".join(digest(joined[s : e + length], o) for s, e, o in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
-                which = np.searchsorted(first, lo, side="right") - 1
-                move = np.array([o for _, o, _ in batch])[which] - first[which]
-                row = np.array([i for i, _, _ in batch])[which]
-                yield pd.DataFrame({"_k1": k1[row], "_k2": k2[row], "key": key, "c1": both[:, 0], "c2": both[:, 1], "lo": lo + move, "hi": hi + move, "off": (at - lo).astype(np.int32)})
+            keys = b["_k1"].to_numpy(np.int64), b["_k2"].to_numpy(np.int64)
+            yield from found(_BYTE, raws, *keys)
+            yield from found(_WORD, [_words(r) for r in raws], *keys)
+
+    def found(unit: int, texts: list, k1: np.ndarray, k2: np.ndarray) -> Iterator[pd.DataFrame]:
+        length, width, digest = lengths[unit], _WIDTH[unit], xxhash.xxh3_128_digest
+        for batch in _pieces(texts, length):
+            parts = [p for _, _, p in batch]
+            joined = b"".join(parts) if unit == _BYTE else np.concatenate(parts).tobytes()
+            h = _TABLE[np.frombuffer(joined, dtype=np.uint8)] if unit == _BYTE else np.frombuffer(joined, dtype=np.uint64)
+            sizes = np.array([len(p) for p in parts])
+            first = np.concatenate([[0], sizes.cumsum()[:-1]])
+            lo, hi, at, key = runs(h, first, first + sizes - length, length, grams[unit])
+            both = np.frombuffer(b"".join(digest(joined[s * width : (e + length) * width], o) for s, e, o in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+            which = np.searchsorted(first, lo, side="right") - 1
+            move = np.array([o for _, o, _ in batch])[which] - first[which]
+            row = np.array([i for i, _, _ in batch])[which]
+            yield pd.DataFrame({"_k1": k1[row], "_k2": k2[row], "unit": np.full(len(lo), unit, dtype=np.int8), "key": key ^ unit, "c1": both[:, 0], "c2": both[:, 1], "lo": (lo + move).astype(np.int32), "w": (hi - lo + 1).astype(np.int32), "off": (at - lo).astype(np.int32)})
 
     return docs.select("_k1", "_k2", "text").mapInPandas(of, _RUN)
 
@@ -231,26 +253,24 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.append(cut, len(starts)) - 1] + length
 
 
-_FETCHED = "key long, _k1 long, _k2 long, n long, lo long, hi long, off int, part binary"
+_FETCHED = "_k1 long, _k2 long, unit byte, key long, n long, lo long, w long, off long, part binary"
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of one run for each row of ``wanted``."""
-    one = F.array(*[F.col(c).cast("long") for c in ("key", "n", "lo", "hi", "off")])
+def _fetch(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """The units of the run of each row of ``wanted``."""
+    one = F.array(*[F.col(c).cast("long") for c in ("unit", "key", "n", "lo", "w", "off")])
     lists = wanted.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list(one)).alias("runs"))
     rows = docs.select("_k1", "_k2", "text").join(lists, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            each = [np.asarray(r, dtype=np.int64).reshape(-1, 5) for r in b["runs"]]
-            count = np.array(list(map(len, each)))
-            k1, k2, raws = np.repeat(b["_k1"].to_numpy(), count), np.repeat(b["_k2"].to_numpy(), count), [_bytes(t) for t in b["text"]]
-            all_ = np.concatenate(each) if each else np.zeros((0, 5), dtype=np.int64)
-            which = np.repeat(np.arange(len(each)), count)
-            for at in range(0, len(all_), 4096):
-                x = all_[at : at + 4096]
-                part = [raws[i][lo : hi + length] for i, lo, hi in zip(which[at : at + 4096].tolist(), x[:, 2].tolist(), x[:, 3].tolist(), strict=True)]
-                yield pd.DataFrame({"key": x[:, 0], "_k1": k1[at : at + 4096], "_k2": k2[at : at + 4096], "n": x[:, 1], "lo": x[:, 2], "hi": x[:, 3], "off": x[:, 4].astype(np.int32), "part": part})
+            for k1, k2, text, flat in zip(b["_k1"], b["_k2"], b["text"], b["runs"], strict=True):
+                raw, each = _bytes(text), np.asarray(flat, dtype=np.int64).reshape(-1, 6)
+                words = _words(raw) if each[:, 0].any() else None
+                for at in range(0, len(each), 4096):
+                    x = each[at : at + 4096]
+                    part = [raw[lo : lo + w - 1 + lengths[_BYTE]] if unit == _BYTE else words[lo : lo + w - 1 + lengths[_WORD]].tobytes() for unit, lo, w in x[:, [0, 3, 4]].tolist()]
+                    yield pd.DataFrame({"_k1": k1, "_k2": k2, "unit": x[:, 0].astype(np.int8), "key": x[:, 1], "n": x[:, 2], "lo": x[:, 3], "w": x[:, 4], "off": x[:, 5], "part": part})
 
     return rows.mapInPandas(cut, _FETCHED)
 
@@ -282,8 +302,7 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
         parts = rows["part"].tolist()
         data = b"".join(parts)
         place = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-        lo, hi, off = (rows[c].to_numpy(np.int64) for c in ("lo", "hi", "off"))
-        count = hi - lo + 1
+        lo, count, off = (rows[c].to_numpy(np.int64) for c in ("lo", "w", "off"))
         which = np.repeat(np.arange(len(rows)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         starts = place[which] + step
@@ -318,6 +337,21 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
     return fetched.repartition("key").sortWithinPartitions("key").mapInPandas(of, _SPAN)
 
 
+def _windows(fetched: DataFrame, length: int, width: int) -> DataFrame:
+    """The digest of every window of ``length`` units in the runs of ``fetched``, with its start."""
+    digest = xxhash.xxh3_128_digest
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = b["part"].tolist()
+            count = np.array([len(p) // width - length + 1 for p in parts], dtype=np.int64)
+            w = np.frombuffer(b"".join(digest(p[i * width : (i + length) * width]) for p, c in zip(parts, count.tolist(), strict=True) for i in range(c)), dtype=np.int64).reshape(-1, 2)
+            step = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+            yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1]} | {c: np.repeat(b[c].to_numpy(), count) for c in ("_k1", "_k2", "n")} | {"s": np.repeat(b["lo"].to_numpy(), count) + step})
+
+    return fetched.select("_k1", "_k2", "n", "lo", "part").mapInPandas(of, "w1 long, w2 long, _k1 long, _k2 long, n long, s long")
+
+
 def _counted_spans(fetched: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many different runs, counted over all tasks."""
     digest = xxhash.xxh3_128_digest
@@ -325,84 +359,106 @@ def _counted_spans(fetched: DataFrame, length: int) -> DataFrame:
     def short_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows, hashes = [], []
-            for k1, k2, n, lo, hi, off, part in zip(b["_k1"], b["_k2"], b["n"], b["lo"], b["hi"], b["off"], b["part"], strict=True):
+            for k1, k2, n, lo, w, off, part in zip(b["_k1"], b["_k2"], b["n"], b["lo"], b["w"], b["off"], b["part"], strict=True):
                 # Starts by their distance from the anchor: those of one step share all but their edges.
-                for j in range((off - hi + lo) // STEP, off // STEP + 1):
-                    s, e = max(0, off - j * STEP - STEP + 1), min(hi - lo, off - j * STEP)
+                for j in range((off - w + 1) // STEP, off // STEP + 1):
+                    s, e = max(0, off - j * STEP - STEP + 1), min(w - 1, off - j * STEP)
                     core = off - j * STEP
                     own = part[s : e + length]
                     hashes += [digest(part[core : core + length - STEP + 1], j), digest(own, core - s)]
-                    rows.append((k1, k2, n, lo + s, lo + e, own))
+                    rows.append((k1, k2, n, lo + s, e - s + 1, own))
             if rows:
                 c = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 4)
-                yield pd.DataFrame(rows, columns=["_k1", "_k2", "n", "lo", "hi", "part"]).assign(c1=c[:, 0], c2=c[:, 1], d1=c[:, 2], d2=c[:, 3])
+                yield pd.DataFrame(rows, columns=["_k1", "_k2", "n", "lo", "w", "part"]).assign(c1=c[:, 0], c2=c[:, 1], d1=c[:, 2], d2=c[:, 3])
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = b["part"].tolist()
-            count = np.array([len(p) - length + 1 for p in parts], dtype=np.int64)
-            w = np.frombuffer(b"".join(digest(p[i : i + length]) for p in parts for i in range(len(p) - length + 1)), dtype=np.int64).reshape(-1, 2)
-            step = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
-            yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1]} | {c: np.repeat(b[c].to_numpy(), count) for c in ("_k1", "_k2", "n")} | {"s": np.repeat(b["lo"].to_numpy(), count) + step})
-
-    short = written(fetched.mapInPandas(short_runs, "_k1 long, _k2 long, n long, lo long, hi long, part binary, c1 long, c2 long, d1 long, d2 long"))
+    short = written(fetched.select("_k1", "_k2", "n", "lo", "w", "off", "part").mapInPandas(short_runs, "_k1 long, _k2 long, n long, lo long, w long, part binary, c1 long, c2 long, d1 long, d2 long"))
     kinds = written(short.groupBy("c1", "c2", "d1", "d2").agg(F.sum("n").alias("m")))
-    whole = short.where("n = 1").drop("part").join(kinds.where("m > 1"), ["c1", "c2", "d1", "d2"]).select("_k1", "_k2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    whole = short.where("n = 1").drop("part").join(kinds.where("m > 1"), ["c1", "c2", "d1", "d2"]).select("_k1", "_k2", F.col("lo").alias("s"), (F.col("lo") + F.col("w") + (length - 1)).alias("e"))
     mixed = written(kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("c1", "c2"))
-    w = written(short.join(mixed, ["c1", "c2"]).select("_k1", "_k2", "n", "lo", "part").mapInPandas(windows, "w1 long, w2 long, _k1 long, _k2 long, n long, s long"))
+    w = written(_windows(short.join(mixed, ["c1", "c2"]), length, 1))
     many = written(w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2"))
     return whole.unionByName(w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e")))
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """(_k1, _k2, s, e): byte spans covered by repeated strings. They overlap, and one may come more than once."""
-    every = written(anchored(keyed, length, gram))
+def _passage_spans(fetched: DataFrame, length: int) -> DataFrame:
+    """The windows of words that stand in more than one document; ``n`` is 2 where the whole run does already."""
+    w = written(_windows(fetched, length, _WIDTH[_WORD]))
+    many = written(w.groupBy("w1", "w2").agg(F.max("n").alias("n"), _several().alias("several")).where("several OR n > 1").select("w1", "w2"))
+    return w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e"))
+
+
+def _several() -> Column:
+    """Whether rows of more than one row key meet."""
+    return (F.min("_k1") != F.max("_k1")) | (F.min("_k2") != F.max("_k2"))
+
+
+def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE), grams: tuple[int, int] = (GRAM, PASSAGE_GRAM), hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+    """(_k1, _k2, unit, s, e): spans covered by repeated strings, in bytes and in words. They overlap, and one may come more than once."""
+    byte, word = F.col("unit") == _BYTE, F.col("unit") == _WORD
+    every = written(anchored(keyed, lengths, grams))
     # Aggregates are written before they are joined, so that joins read two plain tables and a hot anchor can be split.
-    often = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
+    often = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("unit").alias("unit"), _several().alias("several")).where((byte & (F.col("m") > 1)) | F.col("several")).select("key"))
     shared = written(every.join(often, "key"))
-    kinds = written(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k1", "_k2", "lo", "hi", "off")).alias("one")))
-    copied = kinds.where("n > 1").select("key", "c1", "c2")
-    whole = shared.join(copied, ["key", "c1", "c2"]).select("_k1", "_k2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    discard(every, often)
+    kinds = shared.groupBy("unit", "key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), _several().alias("several"), F.min(F.struct("_k1", "_k2", "lo", "w", "off")).alias("one"))
+    kinds = written(kinds.withColumn("copied", F.when(byte, F.col("n") > 1).otherwise(F.col("several"))))
+    copied = kinds.where("copied").select("key", "c1", "c2")
+    span = lambda s, e: ["_k1", "_k2", "unit", s.alias("s"), e.alias("e")]
+    end = F.col("lo").cast("long") + F.col("w") - 1 + F.when(byte, lengths[_BYTE]).otherwise(lengths[_WORD])
+    whole = shared.join(copied, ["key", "c1", "c2"]).select(*span(F.col("lo").cast("long"), end))
     mixed = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    wanted = kinds.join(mixed, "key").select("key", "n", "one.*", "kinds")
-    fetched = written(_fetch(keyed, wanted.drop("kinds"), length).join(mixed.where(F.col("kinds") > hot_anchor).withColumnRenamed("kinds", "hot"), "key", "left"))
-    sorted_ = _sorted_spans(fetched.where("hot IS NULL").drop("hot"), length)
-    counted = _counted_spans(fetched.where("hot IS NOT NULL").drop("hot"), length)
-    return union([whole, sorted_, counted])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """doc_id, kept (binary), removed (array of [s, e) byte spans, maximal) and n_bytes for each row of ``docs``."""
+    met = kinds.join(mixed.select("key"), "key")
+    # One run of each kind stands for it. Only a kind of passage that one document repeats is fetched wherever it stands.
+    inner = word & ~F.col("copied") & (F.col("n") > 1)
+    wanted = met.where(~inner).select("unit", "key", F.when(byte, F.col("n")).when(F.col("copied"), 2).otherwise(1).alias("n"), "one.*")
+    again = shared.join(met.where(inner).select("key", "c1", "c2"), ["key", "c1", "c2"]).select("unit", "key", F.lit(1).cast("long").alias("n"), "_k1", "_k2", "lo", "w", "off")
+    fetched = written(_fetch(keyed, wanted.unionByName(again), lengths).join(mixed.where(F.col("kinds") > hot_anchor).withColumnRenamed("kinds", "hot"), "key", "left"))
+    sorted_ = _sorted_spans(fetched.where(byte & F.isnull("hot")).drop("hot"), lengths[_BYTE])
+    counted = _counted_spans(fetched.where(byte & ~F.isnull("hot")).drop("hot"), lengths[_BYTE])
+    passages = _passage_spans(fetched.where(word), lengths[_WORD])
+    named = lambda df, unit: df.select(*span(F.col("s"), F.col("e")) if "unit" in df.columns else ["_k1", "_k2", F.lit(unit).cast("byte").alias("unit"), "s", "e"])
+    return union([whole, named(sorted_, _BYTE), named(counted, _BYTE), named(passages, _WORD)])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, kept (binary), removed (array of [s, e) byte spans, maximal), n_bytes and passages (array of [s, e) spans of words) for each row of ``docs``."""
     small_batches(docs.sparkSession)
     keyed = with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
-    spans = repeated_spans(keyed, length, gram, hot_anchor).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(keyed, (length, passage), (gram, passage_gram), hot_anchor).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans"))
     rows = keyed.join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
 
-    @F.pandas_udf("kept binary, removed array<struct<s: long, e: long>>, n_bytes long")
+    def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for s, e in sorted(spans):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        return out
+
+    @F.pandas_udf("kept binary, removed array<struct<s: long, e: long>>, n_bytes long, passages array<struct<s: long, e: long>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
-            kept, removed, sizes = [], [], []
+            out: dict[str, list] = {"kept": [], "removed": [], "n_bytes": [], "passages": []}
             for text, own in zip(texts, lists, strict=True):
                 raw = _bytes(text)
-                merged: list[list[int]] = []
-                for s, e in sorted((r["s"], r["e"]) for r in own) if own is not None else ():
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
+                each = own if own is not None else ()
+                gone, words = (merged([(r["s"], r["e"]) for r in each if r["unit"] == u]) for u in (_BYTE, _WORD))
                 at, parts = 0, []
-                for s, e in merged:
+                for s, e in gone:
                     parts.append(raw[at:s])
                     at = e
-                kept.append(b"".join([*parts, raw[at:]]))
-                removed.append([{"s": s, "e": e} for s, e in merged])
-                sizes.append(len(raw))
-            yield pd.DataFrame({"kept": kept, "removed": removed, "n_bytes": sizes})
+                out["kept"].append(b"".join([*parts, raw[at:]]))
+                out["removed"].append([{"s": s, "e": e} for s, e in gone])
+                out["n_bytes"].append(len(raw))
+                out["passages"].append([{"s": s, "e": e} for s, e in words])
+            yield pd.DataFrame(out)
 
-    return rows.select("doc_id", cut("text", "spans").alias("x")).select("doc_id", "x.kept", "x.removed", "x.n_bytes")
+    return rows.select("doc_id", cut("text", "spans").alias("x")).select("doc_id", "x.*")
 
 
 def op6_suffix(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_passage_words: the words inside passages of over 50 words that also stand in another document."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.e - r.s)
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, r: n + r.e - r.s)
+    return out.select("doc_id", "n_bytes", total("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("passages").alias("n_passage_words"))

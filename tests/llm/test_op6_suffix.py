@@ -69,3 +69,34 @@ def test_odd_rows(spark, docs_of):
     got = m.remove_repeats(docs_of(rows), length=40, gram=8).collect()
     assert len(got) == 6 and sorted(len(r["kept"]) for r in got) == [0, 0, 0, 0, 0, 39]
     assert m.remove_repeats(docs_of([])).count() == 0
+
+
+def passages(rows, n):
+    """For each row (key, text) the words inside windows of n words that rows with another key have, too."""
+    split = [(k, (t or "").encode().split()) for k, t in rows]
+    seen = {}
+    for k, ws in split:
+        for i in range(len(ws) - n + 1):
+            seen.setdefault(tuple(ws[i : i + n]), set()).add(k)
+    out = []
+    for _, ws in split:
+        inside = set()
+        for i in range(len(ws) - n + 1):
+            if len(seen[tuple(ws[i : i + n])]) > 1:
+                inside |= set(range(i, i + n))
+        out.append(len(inside))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "piece"), [(1, 2 << 20), (2, 40)])
+def test_passages_against_brute_force(spark, docs_of, monkeypatch, seed, piece):
+    monkeypatch.setattr(m, "PIECE", piece)
+    r = random.Random(seed)
+    words = lambda n: [r.choice(["a", "bc", "déf", "ghij"]) + str(r.randint(0, 99)) for _ in range(n)]
+    p, q = words(30), words(12)
+    lists = [words(5) + p + words(9), words(40), words(20) + p, p[:19], p[:11] + words(20), words(8) + p[6:18] + words(8), q * 3, words(3), [], p + q, words(9) + p[3:15], ["x"] * 40, ["x"] * 15]
+    lists += [words(6) + q + words(6) for _ in range(20)] + [q + q + words(5)]
+    texts = [r.choice([" ", "\n", " \t "]).join(x) for x in lists]
+    rows = [*enumerate(texts), (0, texts[0]), (None, None), (None, texts[1])]
+    got = sorted((str(x["doc_id"]), sum(y["e"] - y["s"] for y in x["passages"])) for x in m.remove_repeats(docs_of(rows), length=400, gram=8, passage=12, passage_gram=4).collect())
+    assert got == sorted((str(d), n) for (d, _), n in zip(rows, passages([((d, t), t) for d, t in rows], 12), strict=True))
