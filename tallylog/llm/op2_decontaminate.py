@@ -6,6 +6,7 @@ rarest terms by the training corpus. The rarest term's list, moved by the term's
 starts where the item would lie; the second list, moved likewise, is intersected with it; only
 what survives is compared word by word with the document. The same lists give proximity matches:
 documents where the two terms lie within a given distance.
+Texts are cut into words once, in a written table that serves the counts, the index and the numbers of words.
 
 Defined results: a null or empty text has no words and no hits. An item without words has no window. Repeated rows and
 null ids keep their rows, and each gets its own counts. A repeated item_id is one item with all its rows' windows.
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window
 from tallylog.llm.common import lower_ascii, packed, unpacked, with_row_key, written
 
 WINDOW = 10
-#: Words of benchmark terms up to which the anchors are broadcast; beyond it they are joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: Different benchmark terms, and words of all different windows together, up to which those tables are broadcast; beyond it they are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_WORDS = 200_000, 1_000_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -30,15 +31,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(token, n): how often each of ``terms`` occurs in the whole of ``docs``; absent terms are left out."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("token"))
+def term_counts(cut: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """(token, n): how often each of ``terms`` occurs in the whole of ``cut`` (array ``ws``); absent terms are left out."""
+    tokens = cut.select(F.explode("ws").alias("token"))
     return tokens.join(F.broadcast(terms) if small else terms, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """The index's lists for ``terms``: (token, _k1, _k2, pos) for each occurrence in ``docs``."""
-    tokens = docs.select("_k1", "_k2", F.posexplode(words(F.col("text"))).alias("pos", "token"))
+def postings(cut: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """The index's lists for ``terms``: (token, _k1, _k2, pos) for each occurrence in ``cut``."""
+    tokens = cut.select("_k1", "_k2", F.posexplode("ws").alias("pos", "token"))
     return tokens.join(F.broadcast(terms) if small else terms, "token")
 
 
@@ -60,24 +61,31 @@ def _anchored(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return rank.select("w", F.col("by")[0].alias("first"), F.coalesce(F.get("by", F.lit(1)), F.col("by")[0]).alias("second")).join(distinct, "w")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_terms: int = BROADCAST_TERMS) -> tuple[DataFrame, DataFrame]:
-    """Exact phrases: (_k1, _k2, start, w, len) over ``docs`` with row keys, and the windows (w, item_id)."""
+def cut_words(keyed: DataFrame) -> DataFrame:
+    """doc_id, _k1, _k2, the words ``ws`` and their number ``n_words``, written."""
+    return written(keyed.select("doc_id", "_k1", "_k2", words(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws").cast("long")))
+
+
+def phrase_matches(docs: DataFrame, cut: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_terms: int = BROADCAST_TERMS, broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Exact phrases: (_k1, _k2, start, w, len) over ``docs`` with row keys and their words ``cut``, and the windows (w, item_id)."""
     wins = written(windows(items, size))
-    vocabulary = wins.select(F.explode("ws").alias("token")).distinct()
+    vocabulary = written(wins.select(F.explode("ws").alias("token")).distinct())
     small = vocabulary.count() <= broadcast_terms
-    counts = written(term_counts(docs, vocabulary, small))
+    # Windows carry their words, so not their number but that of their words bounds what is sent.
+    few = wins.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0] <= broadcast_words
+    counts = written(term_counts(cut, vocabulary, small))
     anchors = written(_anchored(wins, counts))
     first = anchors.select("w", F.col("first.token").alias("token"), F.col("first.off").alias("o1"), F.col("second.token").alias("t2"), F.col("second.off").alias("o2"), "ws")
     needed = anchors.select(F.explode(F.array("first.token", "second.token")).alias("token")).distinct()
-    index = written(postings(docs, needed, small))
+    index = written(postings(cut, needed, small))
     # The rarest list, moved by its offset: where each window would start.
-    starts = index.join(F.broadcast(first) if small else first, "token").select("_k1", "_k2", (F.col("pos") - F.col("o1")).alias("start"), "w", "t2", "o2").where("start >= 0")
+    starts = index.join(F.broadcast(first) if few else first, "token").select("_k1", "_k2", (F.col("pos") - F.col("o1")).alias("start"), "w", "t2", "o2").where("start >= 0")
     # Intersected with the second list, moved by its own.
     second = index.join(anchors.select(F.col("second.token").alias("token")).distinct(), "token", "left_semi").select("_k1", "_k2", F.col("token").alias("t2"), F.col("pos").alias("p2"))
     both = starts.withColumn("p2", F.col("start") + F.col("o2")).join(second, ["_k1", "_k2", "t2", "p2"], "left_semi").select("_k1", "_k2", "start", "w").distinct()
     # Compared word by word, once a document.
     phrases = anchors.select("w", "ws")
-    found = both.join(F.broadcast(phrases) if small else phrases, "w").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "w", "ws")).alias("c"))
+    found = both.join(F.broadcast(phrases) if few else phrases, "w").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "w", "ws")).alias("c"))
     checked = docs.join(found, ["_k1", "_k2"]).select("_k1", "_k2", words(F.col("text")).alias("all"), "c")
     same = F.filter("c", lambda c: F.slice(F.col("all"), c.start + 1, F.size(c.ws)) == c.ws)
     hits = checked.select("_k1", "_k2", F.explode(F.transform(same, lambda c: F.struct(c.start.alias("start"), c.w.alias("w"), F.size(c.ws).alias("len")))).alias("h"))
@@ -91,7 +99,8 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int, broadcast_
     """
     keyed = with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
     terms = pairs.select(F.explode(F.array("a", "b")).alias("token")).distinct()
-    index = postings(keyed, terms, terms.count() <= broadcast_terms)
+    cut = keyed.select("_k1", "_k2", words(F.col("text")).alias("ws"))
+    index = postings(cut, terms, terms.count() <= broadcast_terms)
     width = max(within, 1)
     left = index.join(pairs.distinct(), F.col("token") == F.col("a")).select("_k1", "_k2", "a", "b", F.col("pos").alias("p"), F.explode(F.array(*[(F.floor(F.col("pos") / width) + i) for i in (-1, 0, 1)])).alias("bucket"))
     right = index.select("_k1", "_k2", F.col("token").alias("b"), F.col("pos").alias("q"), F.floor(F.col("pos") / width).alias("bucket"))
@@ -100,10 +109,11 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int, broadcast_
     return near.join(ids, ["_k1", "_k2"]).select("doc_id", "a", "b", "p", "q").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_terms: int = BROADCAST_TERMS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, row key, n_words, n_hit, item_ids (sorted as strings) for each row of ``docs``."""
     keyed = with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
-    hits, wins = phrase_matches(keyed, items, size, broadcast_terms)
+    cut = cut_words(keyed)
+    hits, wins = phrase_matches(keyed, cut, items, size, broadcast_terms, broadcast_words)
     hits = written(hits)
     # Runs of hit words by document: a word counts once however many windows cover it.
     w = Window.partitionBy("_k1", "_k2").orderBy("start")
@@ -114,14 +124,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     names = hits.join(wins.select("w", F.col("item_id").cast("string").alias("item_id")).distinct(), "w").select("_k1", "_k2", "item_id").distinct()
     names = names.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     found = n_hit.join(names, ["_k1", "_k2"], "left")
-    out = keyed.select("doc_id", "_k1", "_k2", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, ["_k1", "_k2"], "left")
+    out = cut.select("doc_id", "_k1", "_k2", "n_words").join(found, ["_k1", "_k2"], "left")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit."""
     keyed = with_row_key(packed(docs), "doc_id", "text")
-    hits, _ = phrase_matches(keyed.select("_k1", "_k2", "text"), items, size)
+    hits, _ = phrase_matches(keyed.select("_k1", "_k2", "text"), cut_words(keyed), items, size)
     return unpacked(keyed.join(hits.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti"), docs.columns)
 
 

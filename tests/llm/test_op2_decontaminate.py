@@ -30,13 +30,13 @@ def brute(docs, items, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("size", "terms"), [(10, 200_000), (3, 0)])
-def test_against_brute_force(spark, docs_of, size, terms):
+@pytest.mark.parametrize(("size", "terms", "few"), [(10, 200_000, 1_000_000), (3, 0, 0), (10, 200_000, 0)])
+def test_against_brute_force(spark, docs_of, size, terms, few):
     r = random.Random(size)
     w = lambda n: " ".join(r.choice(["the", "The", "cat", "sat", "ön", "mat", "x1", "of"]) for _ in range(n))
     items = [(1, w(12)), (10, w(14)), (2, w(2)), (3, ""), (4, None), (1, w(11)), (None, w(3)), (5, "zebra quagga"), (6, "a a a a a a a a a a a a")]
     docs = [(i, f"{w(20)}, {r.choice(items)[1] or ''}! {w(9)}") for i in range(40)] + [(None, items[0][1]), (7, None), (7, ""), (50, items[0][1]), (50, items[0][1]), (51, "a " * 30), (52, w(4000) + " " + items[1][1])]
-    got = m.contamination(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"), size, terms).collect()
+    got = m.contamination(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"), size, terms, few).collect()
     assert sorted([(x["doc_id"], x["n_words"], x["n_hit"], tuple(x["item_ids"])) for x in got], key=repr) == brute(docs, items, size)
 
 
@@ -60,3 +60,19 @@ def test_no_python_in_the_plan(spark, docs_of):
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     plan = m.contamination(docs_of([(1, "one two three")]), items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_windows_of_few_terms_are_not_broadcast(spark, docs_of):
+    """Four terms, but more words in windows than may be sent: the tables of windows are joined by shuffle."""
+    items = spark.createDataFrame([(i, " ".join("abcd"[i >> 2 * k & 3] for k in range(6))) for i in range(400)], "item_id long, text string")
+    docs = docs_of([(1, "a b c d a b c"), (2, "d d d d d d d")])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, n in ((1_000_000, True), (100, False)):
+            keyed = m.with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
+            plan = m.phrase_matches(keyed, m.cut_words(keyed), items, 6, 200_000, few)[0]._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
