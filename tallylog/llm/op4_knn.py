@@ -1,21 +1,27 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
-Vectors become integers, floor(scale * x). Pivots are a fixed number of the vectors (smallest hash of the id); every vector
-belongs to the cell of its nearest pivot. From each cell comes a summary: its row count and its
-largest distance from the pivot; there are as many as pivots, whatever the table holds. For a query q and a cell with pivot p
+Vectors become integers, floor(scale * x). Pivots are vectors of the table (smallest hash of the id), as many as an eighth of the
+root of its rows, but at least ``pivots`` and at most ``MOST_PIVOTS``; every vector, data or query, belongs to the cell of its nearest pivot.
+From each cell comes a summary: its row count and its largest distance from the pivot. For a query q and a cell with pivot p
 and radius r every inner product lies within q.p -+ |q| r. The cells' lower bounds, with their counts, give a value
 that the k-th best score of q cannot be under; q goes only to cells whose upper bound reaches it. A cell is cut into chunks of a
-bounded number of rows, so a vector that makes up a third of the table fills many chunks and no task, and queries into
-blocks of a bounded number. Blocks meet chunks, each pair is solved by one matrix product, and their top k are merged.
+bounded number of rows, so a vector that makes up a third of the table fills many chunks and no task, and the queries of a
+cell into blocks of a bounded number. A chunk is copied to those blocks alone that hold a query for its cell. Each such pair is
+solved by one matrix product, and the top k of all pairs are merged.
+
+Only the most frequent vector lengths (``LENGTHS``) have pivots, which bounds what the driver holds. Vectors of any other length
+make one cell, whose chunks meet all queries of that length.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, as queries or as
-candidates. An empty vector has score 0 with other empty ones. Vectors meet only vectors of their own length. Rows that repeat a vec_id are
-rows of their own: a query with a repeated id answers once, by its smallest vector, and no row of the query's own id is
-its candidate. Null ids are candidates, come last among ties, and are never queries. Scores beyond 64 bits are clipped.
+candidates. An empty vector has score 0 with other empty ones. Vectors meet only vectors of their own length. A query is an id: rows that
+repeat a vec_id are candidates of their own, but as a query the id answers once, by its smallest vector, and no row of the id is
+its candidate, as its rank could not be told apart. Null ids are candidates, come last among ties, and are never queries. Scores beyond
+64 bits are clipped. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +33,9 @@ from pyspark.sql.window import Window
 from tallylog.llm.common import written
 
 SCALE, TOP, EVERY = 1024, 10, 100
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 1024
 #: Rows of one chunk of candidates, and of one block of queries.
-CHUNK, BLOCK = 4096, 32_768
+CHUNK, BLOCK = 4096, 4096
 #: Vector lengths that get pivots.
 LENGTHS = 8
 _EXACT = float(1 << 53)
@@ -77,11 +83,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     """query_id, rank, vec_id, score of the ``k`` best rows of ``vectors`` for each row of ``queries``."""
     spark = vectors.sparkSession
     data, asked = integers(vectors, scale), integers(queries, scale).where(F.col("id") != int(_NO_ID))
-    # Pivots for the most frequent lengths; vectors of any other length make up one cell around the origin.
-    lengths = [r["dim"] for r in data.where("dim > 0").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
+    lengths = data.where("dim > 0").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
     by_dim: dict[int, np.ndarray] = {}
-    for d in lengths:
-        picked = data.where(F.col("dim") == d).orderBy(F.xxhash64("id", "v")).limit(pivots).select("v").collect()
+    for d, n in lengths:
+        most = max(pivots, min(MOST_PIVOTS, math.isqrt(n) // 8))
+        picked = data.where(F.col("dim") == d).orderBy(F.xxhash64("id", "v")).limit(most).select("v").collect()
         by_dim[d] = np.unique(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d), axis=0)
 
     def pivots_of(d: int) -> np.ndarray:
@@ -101,26 +107,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
             yield b.assign(cell=cell, far=far)
 
     cells = written(data.mapInPandas(nearest, "id long, v array<double>, dim int, cell int, far double"))
-    summary = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    facts = {d: g.reset_index(drop=True) for d, g in summary.toPandas().groupby("dim")}
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    own = cells.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    asked = written(asked.join(own, "id", "left").select("id", "v", "dim", F.coalesce("own", F.lit(0).cast("long")).alias("own")))
-    blocks = max(1, -(-asked.count() // block))
-    # Rows of a cell are dealt to its chunks at random, and each chunk meets every block of queries.
+    summary = written(cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")))
+    pruned = F.col("dim").isin(list(by_dim))
+    facts = {d: g.reset_index(drop=True) for d, g in summary.where(pruned).toPandas().groupby("dim")}
+    # Rows of a cell are dealt to its chunks at random.
     spread = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("parts")).cast("int")
-    dealt = cells.join(F.broadcast(summary.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("part", spread)
-    dealt = written(dealt.select("id", "v", "dim", "cell", "part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = written(cells.join(summary.select("dim", "cell", "parts"), ["dim", "cell"]).select("id", "v", "dim", "cell", spread.alias("part")))
+    own = cells.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).join(own, "id", "left")
+    asked = asked.select("id", "v", "dim", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    asked = written(asked.mapInPandas(nearest, "id long, v array<double>, dim int, own long, cell int, far double").withColumnRenamed("cell", "home"))
+    blocks = written(asked.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    asked = asked.join(blocks, ["dim", "home"]).select("id", "v", "dim", "own", "home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each query once for every cell that may hold one of its k best."""
         for b in batches:
             for d, own in b.groupby("dim"):
-                if d not in facts:
-                    continue
                 f, q = facts[d], _matrix(own["v"])
                 size = np.sqrt((q * q).sum(1))[:, None]
-                mid = q @ pivots_of(d)[f["cell"].to_numpy()].T if d else np.zeros((len(q), len(f)))
+                mid = q @ pivots_of(d)[f["cell"].to_numpy()].T
                 far = np.sqrt((pivots_of(d)[f["cell"].to_numpy()] ** 2).sum(1))
                 slack = size * f["r"].to_numpy()[None] * (1 + 1e-9) + size * far[None] * 1e-12 + 1  # and what floats round off
                 low, high = mid - slack, mid + slack
@@ -133,10 +139,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                 at, to = np.nonzero(high >= least[:, None])
                 for lo in range(0, len(at), 4096):
                     i, j = at[lo : lo + 4096], to[lo : lo + 4096]
-                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "parts": f["parts"].to_numpy()[j], "id": own["id"].to_numpy()[i], "v": [own["v"].iloc[x] for x in i]})
+                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "parts": f["parts"].to_numpy()[j]} | {c: own[c].to_numpy()[i] for c in ("home", "block", "id")} | {"v": [own["v"].iloc[x] for x in i]})
 
-    sent = asked.mapInPandas(needed, "dim int, cell int, parts int, id long, v array<double>")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = asked.where(pruned).mapInPandas(needed, "dim int, cell int, parts int, home int, block int, id long, v array<double>")
+    other = asked.where(~pruned).join(summary.select("dim", "cell", "parts"), "dim").select("dim", "cell", "parts", "home", "block", "id", "v")
+    sent = written(sent.unionByName(other))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    met = written(sent.select("dim", "cell", "parts", "home", "block").distinct()).select("dim", "cell", "home", "block", parts)
+    dealt = dealt.join(met, ["dim", "cell", "part"])
+    sent = sent.select("dim", "cell", "home", "block", "id", "v", parts)
 
     def solve(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -154,8 +165,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                 out["score"] += row[best].tolist()
         return pd.DataFrame(out).astype("int64")
 
-    keys = ["dim", "cell", "part", "block"]
-    local = sent.groupBy(*keys).cogroup(dealt.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    keys = ["dim", "cell", "part", "home", "block"]
+    local = sent.select(*keys, "id", "v").groupBy(*keys).cogroup(dealt.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("vec_id") != int(_NO_ID), F.col("vec_id")).alias("vec_id"), "score")

@@ -39,3 +39,28 @@ def test_repeated_ids_and_empty(spark):
     got = sorted(tuple(x) for x in m.top_k(df, df.where("vec_id = 0")).collect())
     assert got == [(0, 1, None, 1024 * 5120), (0, 2, 1, 1024 * 1024)]
     assert m.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_chunks_go_only_where_they_are_needed(spark, monkeypatch):
+    """Two far clusters: no query of one needs a cell of the other, so no chunk is copied there."""
+    seen = []
+    whole = m.written
+    monkeypatch.setattr(m, "written", lambda df: seen.append(whole(df)) or seen[-1])
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(0, 0.01, 3) + ([5, 0, 0] if i % 2 else [0, 5, 0])]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in m.top_k(df, df.where("vec_id < 40"), 10, pivots=6, chunk=20, block=8).collect())
+    assert got == brute(rows, range(40), 10)
+    met = seen[-1].toPandas()
+    side = {(int(x["dim"]), int(x["cell"])): x["id"] % 2 for x in seen[0].toPandas().to_dict("records")}
+    homes = {int(x["home"]): x["id"] % 2 for x in seen[3].toPandas().to_dict("records")}
+    assert len(met) and all(side[x["dim"], x["cell"]] == homes[x["home"]] for x in met.to_dict("records"))
+
+
+def test_many_lengths_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(1 + i % 5)] * (1 + i % 30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *[F.lit(7).alias(c) for c in ("id", "v", "dim", "cell", "part", "home", "block")])
+    got = sorted(tuple(x) for x in m.top_k(df, df.where("vec_id < 60"), 3).collect())
+    assert got == brute(rows, range(60), 3)
