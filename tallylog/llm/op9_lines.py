@@ -2,11 +2,12 @@
 
 Lines are exploded as hashes of their keys, the documents of each hash are counted (a partial
 aggregate, so a line of every document costs one row a task), and the hashes over the threshold go back
-to their documents, which are put together again from the lines that stay, by position.
+to the lines that have them. The positions that go are collected by row (no more than a text has lines), and each text is put together again
+from the positions that stay.
 
 Defined results: a null or empty text is one empty line, and stays so (null becomes empty). A key of fewer than
 ``min_chars`` code points is never dropped. Rows of one doc_id count as one document; rows with a null id
-count as one, too. A text whose lines all go becomes empty.
+count as one, too. Each row is cut by itself, whatever its id. A text whose lines all go becomes empty. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import digest128, lower_ascii, packed, unpacked, written
+from tallylog.llm.common import digest128, lower_ascii, packed, unpacked, with_row_key, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -31,25 +32,31 @@ def _digest(key: Column) -> Column:
     return F.struct(h1.alias("h1"), h2.alias("h2"))
 
 
+def _lines() -> Column:
+    return F.split(F.coalesce("text", F.lit("")), "\n")
+
+
 def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1): each document with the hashes of its lines that are in at least ``min_docs`` documents."""
-    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _key)
-    kept = F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), _digest))
-    lines = docs.select("doc_id", F.explode(kept).alias("h")).select("doc_id", "h.h1", "h.h2")
+    """(h1, h2): the hashes of the lines that are in at least ``min_docs`` documents."""
+    keys = F.filter(F.transform(_lines(), _key), lambda k: F.char_length(k) >= min_chars)
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _digest))).alias("h")).select("doc_id", "h.h1", "h.h2")
     counts = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    # Written, so that the join reads two plain tables: a small one is broadcast, and a hot line can be split.
-    common = written(counts.where(F.col("n") >= min_docs).select("h1", "h2"))
-    return lines.join(common, ["h1", "h2"]).select("doc_id", "h1", "h2")
+    return counts.where(F.col("n") >= min_docs).select("h1", "h2")
 
 
 def counted_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text (cut), n_lines, n_dropped and ``_row``, a struct of the other columns of ``docs``."""
-    gone = common_lines(docs, min_docs, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    out = packed(docs).join(gone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    stays = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _digest(_key(x))) | (F.char_length(_key(x)) < min_chars)))
-    out = out.select("doc_id", "_row", F.size(lines).cast("long").alias("n_lines"), stays.alias("stays"))
-    return out.select("doc_id", F.array_join("stays", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"), "_row")
+    keyed = with_row_key(packed(docs), "doc_id", "text")
+    # Written, so that the join reads two plain tables: a small one is broadcast, and a hot line can be split.
+    common = written(common_lines(docs, min_docs, min_chars))
+    each = keyed.select("_k1", "_k2", F.posexplode(F.transform(_lines(), _key)).alias("pos", "key")).where(F.char_length("key") >= min_chars)
+    each = each.select("_k1", "_k2", "pos", _digest(F.col("key")).alias("h")).select("_k1", "_k2", "pos", "h.h1", "h.h2")
+    gone = each.join(common, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("gone"))
+    n = F.size(_lines())
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    out = keyed.join(gone, ["_k1", "_k2"], "left").select("doc_id", "_row", _lines().alias("lines"), n.cast("long").alias("n_lines"), left.alias("left"))
+    text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    return out.select("doc_id", text.alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_dropped"), "_row")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
