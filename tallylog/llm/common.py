@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallylog.sources.shared import remove, shared_folder
+
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit a worker.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
@@ -23,17 +24,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests) is one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="tallylog-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
 
@@ -52,20 +42,15 @@ def discard(*frames: DataFrame) -> None:
     """Remove tables of :func:`written` once all that is computed from them has been written itself."""
     for df in frames:
         entry = (df.sparkSession, df.__dict__["_written_at"])
-        _remove(*entry)
+        remove(*entry)
         _written.remove(entry)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM has gone; the cluster's own cleaning takes over
             return
 
@@ -120,11 +105,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
         # Large star: every neighbour above the centre is tied to the smallest node around it.
-        e = both.join(low, both.u == low.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(both.join(low, both.u == low.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        discard(e, low)
         # Small star: the neighbours below and the centre itself are tied to the smallest of them.
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")))
-        star = e.join(low.withColumnRenamed("u", "c"), e.u == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        star = large.join(low.withColumnRenamed("u", "c"), large.u == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(star.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(large, low)
         before, state = state, _fingerprint(e)
         if before == state:
             break
