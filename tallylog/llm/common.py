@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from functools import reduce
 
@@ -39,11 +40,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Remove tables of :func:`written` once all that is computed from them has been written itself."""
+    """Remove tables of :func:`written` once all that is computed from them has been written itself.
+
+    Shuffle files of the jobs that led to them go with the plans that refer to them: the collections ask Spark's cleaner to look now.
+    """
     for df in frames:
         entry = (df.sparkSession, df.__dict__["_written_at"])
         remove(*entry)
         _written.remove(entry)
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @atexit.register

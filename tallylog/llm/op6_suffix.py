@@ -15,7 +15,7 @@ filed under its window's smallest k-gram (its anchor), and equal strings meet in
 
 Beside the removal, which goes by bytes alone, the same steps over words (maximal runs without white space) find passages of
 ``passage`` words that also stand in another document, whatever their length in bytes and the white space in them. They are reported and not
-removed. Their windows are counted as in 3, for hot and other anchors alike.
+removed. Their suffixes are sorted as arrays of the words' hashes; under hot anchors their windows are counted.
 
 Defined results: texts are UTF-8 bytes; a null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each
 other; null ids keep their rows. Strings are judged on the input, overlaps count, and matches never cross texts. For passages rows
@@ -142,26 +142,27 @@ def anchored(docs: DataFrame, lengths: tuple[int, int], grams: tuple[int, int])
             sizes = np.array([len(p) for p in parts])
             first = np.concatenate([[0], sizes.cumsum()[:-1]])
             lo, hi, at, key = runs(h, first, first + sizes - length, length, grams[unit])
+            # Words are reported, not cut, and 64 bits beside the anchor's 64 do for them.
             both = np.frombuffer(b"".join(digest(joined[s * width : (e + length) * width], o) for s, e, o in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
             which = np.searchsorted(first, lo, side="right") - 1
             move = np.array([o for _, o, _ in batch])[which] - first[which]
             row = np.array([i for i, _, _ in batch])[which]
-            yield pd.DataFrame({"_k1": k1[row], "_k2": k2[row], "unit": np.full(len(lo), unit, dtype=np.int8), "key": key ^ unit, "c1": both[:, 0], "c2": both[:, 1], "lo": (lo + move).astype(np.int32), "w": (hi - lo + 1).astype(np.int32), "off": (at - lo).astype(np.int32)})
+            yield pd.DataFrame({"_k1": k1[row], "_k2": k2[row], "unit": np.full(len(lo), unit, dtype=np.int8), "key": key ^ unit, "c1": both[:, 0], "c2": both[:, 1] if unit == _BYTE else np.zeros(len(lo), dtype=np.int64), "lo": (lo + move).astype(np.int32), "w": (hi - lo + 1).astype(np.int32), "off": (at - lo).astype(np.int32)})
 
     return docs.select("_k1", "_k2", "text").mapInPandas(of, _RUN)
 
 
 class Suffixes:
-    """Prefix polynomial hashes over bytes, and the comparison of suffixes by them."""
+    """Prefix polynomial hashes over units (bytes, or hashes of words), and the comparison of suffixes by them."""
 
-    def __init__(self, data: bytes, base: int) -> None:
-        self.data = np.frombuffer(data, dtype=np.uint8)
+    def __init__(self, data: bytes | np.ndarray, base: int) -> None:
+        self.data = np.frombuffer(data, dtype=np.uint8) if isinstance(data, bytes) else data
         n = len(self.data)
         power = np.full(n + 1, base, dtype=np.uint64)
         power[0] = 1
         self.power = np.cumprod(power, dtype=np.uint64)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[self.data] * self.power[:-1], dtype=np.uint64, out=self.prefix[1:])
+        np.cumsum((_TABLE[self.data] if self.data.dtype == np.uint8 else self.data) * self.power[:-1], dtype=np.uint64, out=self.prefix[1:])
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """The length of the common extension of the suffixes at a and b, up to ``most``: binary search over equal hashes."""
@@ -222,29 +223,45 @@ def sort_suffixes(s: Suffixes, starts: np.ndarray, classes: np.ndarray, most: in
     return order
 
 
-def repeated(data: bytes, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of ``length`` bytes at each start also stands at another start of its class."""
+def equal_strings(data: bytes | np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
+    """A number for the string of ``length`` units at each start: the same for equal strings of one class."""
     for base in _BASES:
         s = Suffixes(data, base)
         order = sort_suffixes(s, starts, classes, length)
         a, b = order[:-1], order[1:]
         same = (classes[a] == classes[b]) & (s.common(starts[a], starts[b], length) >= length)
         if _verified(data, starts[a[same]], starts[b[same]], length):
-            out = np.zeros(len(starts), dtype=bool)
-            out[a[same]] = out[b[same]] = True
+            out = np.empty(len(starts), dtype=np.int64)
+            out[order] = np.concatenate([[0], np.cumsum(~same)])[: len(starts)]
             return out
     raise ArithmeticError("every base met a hash collision")
 
 
-def _verified(data: bytes, a: np.ndarray, b: np.ndarray, length: int) -> bool:
-    """Compare the bytes behind equal hashes; pairs that run in step are compared once."""
+def repeated(data: bytes | np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` units at each start also stands at another start of its class."""
+    number = equal_strings(data, starts, classes, length)
+    return np.bincount(number, minlength=1)[number] > 1
+
+
+def in_several(number: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each string stands in more than one row, or in one that is ``known`` to stand for several."""
+    first, last, any_ = np.full(number.max(initial=-1) + 1, row.max(initial=0) + 1), np.full(number.max(initial=-1) + 1, -1), np.zeros(number.max(initial=-1) + 1, dtype=bool)
+    np.minimum.at(first, number, row)
+    np.maximum.at(last, number, row)
+    np.logical_or.at(any_, number, known)
+    return ((first != last) | any_)[number]
+
+
+def _verified(data: bytes | np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> bool:
+    """Compare the units behind equal hashes; pairs that run in step are compared once."""
+    raw, width = (data, 1) if isinstance(data, bytes) else (data.tobytes(), data.itemsize)
     by = np.lexsort((a, b - a))
     a, b = a[by], b[by]
     if not len(a):
         return True
     cut = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1
     lo, hi = np.concatenate([[0], cut]), np.append(cut, len(a)) - 1
-    return all(data[s : e + length] == data[t : t + e - s + length] for s, e, t in zip(a[lo].tolist(), a[hi].tolist(), b[lo].tolist(), strict=True))
+    return all(raw[s * width : (e + length) * width] == raw[t * width : (t + e - s + length) * width] for s, e, t in zip(a[lo].tolist(), a[hi].tolist(), b[lo].tolist(), strict=True))
 
 
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,13 +281,17 @@ def _fetch(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, int]) -> Data
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k1, k2, text, flat in zip(b["_k1"], b["_k2"], b["text"], b["runs"], strict=True):
-                raw, each = _bytes(text), np.asarray(flat, dtype=np.int64).reshape(-1, 6)
-                words = _words(raw) if each[:, 0].any() else None
-                for at in range(0, len(each), 4096):
-                    x = each[at : at + 4096]
-                    part = [raw[lo : lo + w - 1 + lengths[_BYTE]] if unit == _BYTE else words[lo : lo + w - 1 + lengths[_WORD]].tobytes() for unit, lo, w in x[:, [0, 3, 4]].tolist()]
-                    yield pd.DataFrame({"_k1": k1, "_k2": k2, "unit": x[:, 0].astype(np.int8), "key": x[:, 1], "n": x[:, 2], "lo": x[:, 3], "w": x[:, 4], "off": x[:, 5], "part": part})
+            each = [np.asarray(r, dtype=np.int64).reshape(-1, 6) for r in b["runs"]]
+            raws = [_bytes(t) for t in b["text"]]
+            words = [_words(raw) if x[:, 0].any() else None for raw, x in zip(raws, each, strict=True)]
+            which = np.repeat(np.arange(len(each)), list(map(len, each)))
+            k1, k2 = b["_k1"].to_numpy()[which], b["_k2"].to_numpy()[which]
+            all_ = np.concatenate(each) if each else np.zeros((0, 6), dtype=np.int64)
+            for at in range(0, len(all_), 4096):
+                to = at + 4096
+                x = all_[at:to]
+                part = [raws[i][lo : lo + w - 1 + lengths[_BYTE]] if unit == _BYTE else words[i][lo : lo + w - 1 + lengths[_WORD]].tobytes() for i, (unit, lo, w) in zip(which[at:to].tolist(), x[:, [0, 3, 4]].tolist(), strict=True)]
+                yield pd.DataFrame({"_k1": k1[at:to], "_k2": k2[at:to], "unit": x[:, 0].astype(np.int8), "key": x[:, 1], "n": x[:, 2], "lo": x[:, 3], "w": x[:, 4], "off": x[:, 5], "part": part})
 
     return rows.mapInPandas(cut, _FETCHED)
 
@@ -278,8 +299,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, int]) -> Data
 _SPAN = "_k1 long, _k2 long, s long, e long"
 
 
-def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
-    """The repeated spans among runs that share an anchor, found by suffix sorting. Groups stay whole in a task."""
+def _sorted_spans(fetched: DataFrame, unit: int, length: int) -> DataFrame:
+    """The repeated spans among runs that share an anchor, found by suffix sorting. Groups stay whole in a task.
+
+    In bytes a string repeats wherever it stands twice; in words, if it stands in more than one row.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -301,7 +325,8 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
     def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         parts = rows["part"].tolist()
         data = b"".join(parts)
-        place = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+        data = data if unit == _BYTE else np.frombuffer(data, dtype=np.uint64)
+        place = np.concatenate([[0], np.cumsum([len(p) // _WIDTH[unit] for p in parts])[:-1]]).astype(np.int64)
         lo, count, off = (rows[c].to_numpy(np.int64) for c in ("lo", "w", "off"))
         which = np.repeat(np.arange(len(rows)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -320,9 +345,13 @@ def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
         edge = np.concatenate([[True], np.diff(classes[by]) != 0])
         alone = edge & np.append(edge[1:], True)
         kept = by[~alone]
-        found[kept] = repeated(data, starts[kept], classes[kept], length)
-        out = {"_k1": [], "_k2": [], "s": [], "e": []}
         k1, k2, n = rows["_k1"].to_numpy(), rows["_k2"].to_numpy(), rows["n"].to_numpy()
+        if unit == _BYTE:
+            found[kept] = repeated(data, starts[kept], classes[kept], length)
+        else:
+            row = np.unique(np.stack([k1, k2]), axis=1, return_inverse=True)[1].reshape(-1)
+            found[kept] = in_several(equal_strings(data, starts[kept], classes[kept], length), row[which[kept]], n[which[kept]] > 1)
+        out = {"_k1": [], "_k2": [], "s": [], "e": []}
         ends = np.cumsum(count)
         for i in np.flatnonzero((n == 1) & (np.add.reduceat(found, ends - count) > 0)):
             own = lo[i] + np.flatnonzero(found[ends[i] - count[i] : ends[i]])
@@ -380,7 +409,7 @@ def _counted_spans(fetched: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e")))
 
 
-def _passage_spans(fetched: DataFrame, length: int) -> DataFrame:
+def _counted_passages(fetched: DataFrame, length: int) -> DataFrame:
     """The windows of words that stand in more than one document; ``n`` is 2 where the whole run does already."""
     w = written(_windows(fetched, length, _WIDTH[_WORD]))
     many = written(w.groupBy("w1", "w2").agg(F.max("n").alias("n"), _several().alias("several")).where("several OR n > 1").select("w1", "w2"))
@@ -393,7 +422,7 @@ def _several() -> Column:
 
 
 def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE), grams: tuple[int, int] = (GRAM, PASSAGE_GRAM), hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """(_k1, _k2, unit, s, e): spans covered by repeated strings, in bytes and in words. They overlap, and one may come more than once."""
+    """(_k1, _k2, spans): for each row with any the (unit, s, e) that repeated strings cover, in bytes and in words. They may overlap."""
     byte, word = F.col("unit") == _BYTE, F.col("unit") == _WORD
     every = written(anchored(keyed, lengths, grams))
     # Aggregates are written before they are joined, so that joins read two plain tables and a hot anchor can be split.
@@ -403,9 +432,8 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE
     kinds = shared.groupBy("unit", "key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), _several().alias("several"), F.min(F.struct("_k1", "_k2", "lo", "w", "off")).alias("one"))
     kinds = written(kinds.withColumn("copied", F.when(byte, F.col("n") > 1).otherwise(F.col("several"))))
     copied = kinds.where("copied").select("key", "c1", "c2")
-    span = lambda s, e: ["_k1", "_k2", "unit", s.alias("s"), e.alias("e")]
     end = F.col("lo").cast("long") + F.col("w") - 1 + F.when(byte, lengths[_BYTE]).otherwise(lengths[_WORD])
-    whole = shared.join(copied, ["key", "c1", "c2"]).select(*span(F.col("lo").cast("long"), end))
+    whole = shared.join(copied, ["key", "c1", "c2"]).select("_k1", "_k2", "unit", F.col("lo").cast("long").alias("s"), end.alias("e"))
     mixed = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     met = kinds.join(mixed.select("key"), "key")
     # One run of each kind stands for it. Only a kind of passage that one document repeats is fetched wherever it stands.
@@ -413,18 +441,22 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE
     wanted = met.where(~inner).select("unit", "key", F.when(byte, F.col("n")).when(F.col("copied"), 2).otherwise(1).alias("n"), "one.*")
     again = shared.join(met.where(inner).select("key", "c1", "c2"), ["key", "c1", "c2"]).select("unit", "key", F.lit(1).cast("long").alias("n"), "_k1", "_k2", "lo", "w", "off")
     fetched = written(_fetch(keyed, wanted.unionByName(again), lengths).join(mixed.where(F.col("kinds") > hot_anchor).withColumnRenamed("kinds", "hot"), "key", "left"))
-    sorted_ = _sorted_spans(fetched.where(byte & F.isnull("hot")).drop("hot"), lengths[_BYTE])
-    counted = _counted_spans(fetched.where(byte & ~F.isnull("hot")).drop("hot"), lengths[_BYTE])
-    passages = _passage_spans(fetched.where(word), lengths[_WORD])
-    named = lambda df, unit: df.select(*span(F.col("s"), F.col("e")) if "unit" in df.columns else ["_k1", "_k2", F.lit(unit).cast("byte").alias("unit"), "s", "e"])
-    return union([whole, named(sorted_, _BYTE), named(counted, _BYTE), named(passages, _WORD)])
+    discard(mixed)
+    hot, rest = fetched.where("hot IS NOT NULL").drop("hot"), fetched.where("hot IS NULL").drop("hot")
+    named = lambda df, unit: df.select("_k1", "_k2", F.lit(unit).cast("byte").alias("unit"), "s", "e")
+    found = [named(_sorted_spans(rest.where(F.col("unit") == u), u, lengths[u]), u) for u in (_BYTE, _WORD)]
+    found += [named(_counted_spans(hot.where(byte), lengths[_BYTE]), _BYTE), named(_counted_passages(hot.where(word), lengths[_WORD]), _WORD)]
+    # By row, and written, so that what leads here can go before the texts are joined to it.
+    spans = written(union([whole, *found]).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans")))
+    discard(shared, kinds, fetched)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """doc_id, kept (binary), removed (array of [s, e) byte spans, maximal), n_bytes and passages (array of [s, e) spans of words) for each row of ``docs``."""
     small_batches(docs.sparkSession)
     keyed = with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
-    spans = repeated_spans(keyed, (length, passage), (gram, passage_gram), hot_anchor).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans"))
+    spans = repeated_spans(keyed, (length, passage), (gram, passage_gram), hot_anchor)
     rows = keyed.join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
 
     def merged(spans: list[tuple[int, int]]) -> list[list[int]]:

@@ -88,8 +88,8 @@ def passages(rows, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "piece"), [(1, 2 << 20), (2, 40)])
-def test_passages_against_brute_force(spark, docs_of, monkeypatch, seed, piece):
+@pytest.mark.parametrize(("seed", "piece", "hot"), [(1, 2 << 20, 512), (2, 40, 1)])
+def test_passages_against_brute_force(spark, docs_of, monkeypatch, seed, piece, hot):
     monkeypatch.setattr(m, "PIECE", piece)
     r = random.Random(seed)
     words = lambda n: [r.choice(["a", "bc", "déf", "ghij"]) + str(r.randint(0, 99)) for _ in range(n)]
@@ -98,5 +98,5 @@ def test_passages_against_brute_force(spark, docs_of, monkeypatch, seed, piece):
     lists += [words(6) + q + words(6) for _ in range(20)] + [q + q + words(5)]
     texts = [r.choice([" ", "\n", " \t "]).join(x) for x in lists]
     rows = [*enumerate(texts), (0, texts[0]), (None, None), (None, texts[1])]
-    got = sorted((str(x["doc_id"]), sum(y["e"] - y["s"] for y in x["passages"])) for x in m.remove_repeats(docs_of(rows), length=400, gram=8, passage=12, passage_gram=4).collect())
+    got = sorted((str(x["doc_id"]), sum(y["e"] - y["s"] for y in x["passages"])) for x in m.remove_repeats(docs_of(rows), length=400, gram=8, hot_anchor=hot, passage=12, passage_gram=4).collect())
     assert got == sorted((str(d), n) for (d, _), n in zip(rows, passages([((d, t), t) for d, t in rows], 12), strict=True))
