@@ -23,17 +23,37 @@ def to_timestamp(text: Column) -> Column:
 # ---- JSON ------------------------------------------------------------------------------------------------------------
 
 
+def boxed(text: Column) -> Column:
+    """A line as a variant, in brackets: a second value on the line is then a second element. Null if it is no JSON, or repeats a key."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _element(box: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(box, path, kind)
+
+
+def _repeats_keys(text: Column) -> Column:
+    """Whether a line that is no variant is one JSON value all the same. The count takes raw control characters and single quotes, which are no JSON."""
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    strings = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return F.coalesce(one & ~F.trim(text, F.lit(" \t\r\n")).rlike(r"[\x00-\x1F]") & ~F.regexp_replace(text, strings, "").contains("'"), F.lit(False))
+
+
 def is_json(text: Column) -> Column:
-    """Whether a text is one JSON value. In brackets, so that a second value after it is seen."""
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce((F.try_variant_get(boxed, "$[1]", "variant").isNull()) & F.try_variant_get(boxed, "$[0]", "variant").isNotNull(), F.lit(False))
+    """Whether a text is one JSON value."""
+    box = boxed(text)
+    return F.coalesce(F.when(box.isNull(), _repeats_keys(text)).otherwise(_element(box, "$[1]").isNull() & _element(box, "$[0]").isNotNull()), F.lit(False))
+
+
+def holds_one_object(box: Column, text: Column) -> Column:
+    """Whether a line, whose :func:`boxed` form is ``box``, is one JSON object."""
+    parsed = F.schema_of_variant(_element(box, "$[0]")).startswith("OBJECT") & _element(box, "$[1]").isNull()
+    return F.coalesce(F.when(box.isNull(), F.trim(text, F.lit(" \t\r\n")).startswith("{") & _repeats_keys(text)).otherwise(parsed), F.lit(False))
 
 
-def is_json_object(text: Column) -> Column:
-    """Whether a line is one JSON object."""
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    kind = F.schema_of_variant(F.try_variant_get(boxed, "$[0]", "variant"))
-    return F.coalesce(kind.startswith("OBJECT") & F.try_variant_get(boxed, "$[1]", "variant").isNull(), F.lit(False))
+def field(box: Column, text: Column, path: str) -> Column:
+    """The text at ``path`` of a line. Of a repeated key the first counts."""
+    return F.when(box.isNull(), F.get_json_object(text, path)).otherwise(_element(box, "$[0]" + path.removeprefix("$"), "string"))
 
 
 # ---- classification --------------------------------------------------------------------------------------------------
@@ -58,6 +78,7 @@ def log_type(decoder="decoder_name", program="program_name", location="location"
 
 # ---- normalization ---------------------------------------------------------------------------------------------------
 
+# The shapes that are masked.
 _D2, _D4 = "[0-9]{2}", "[0-9]{4}"
 _CLOCK = f"{_D2}:{_D2}:{_D2}"
 _ZONE = rf"(?:Z|[+-]{_D2}:{_D2})"
@@ -82,7 +103,6 @@ HEX = f"(?:0x)?{_X}{{16,}}"
 NUM = "[0-9]{5,}"
 # ASCII word boundaries: Java's own take other letters for word characters, too.
 _EDGES = "(?<![0-9A-Za-z_]){}(?![0-9A-Za-z_])"
-_GUARD = f"[0-9]{{5}}|{_X}{{8}}"
 
 
 def trim_spaces(text: Column) -> Column:
@@ -93,11 +113,9 @@ def trim_spaces(text: Column) -> Column:
 def normalize(log: Column) -> Column:
     """Mask a leading timestamp, then UUIDs, long hexadecimal and long decimal numbers, and trim."""
     text = F.regexp_replace(F.coalesce(log, F.lit("")), f"^{TIMESTAMP}", "<TIMESTAMP>")
-    masked = F.regexp_replace(text, UUID, "<UUID>")
-    masked = F.regexp_replace(masked, _EDGES.format(HEX), "<HEX>")
-    masked = F.regexp_replace(masked, _EDGES.format(NUM), "<NUM>")
-    # Every masked value holds such a run, so texts without one skip three passes.
-    return trim_spaces(F.when(F.coalesce(log, F.lit("")).rlike(_GUARD), masked).otherwise(text))
+    for shape, mask in ((UUID, "<UUID>"), (_EDGES.format(HEX), "<HEX>"), (_EDGES.format(NUM), "<NUM>")):
+        text = F.regexp_replace(text, shape, mask)
+    return trim_spaces(text)
 
 
 #: What separates tokens: all that Python's str.split() takes for white space.

@@ -121,6 +121,12 @@ def top_contributors(per_type: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def top_log_types(effective: DataFrame, k: int = 20) -> DataFrame:
+    """log_type and event_count of the ``k`` largest log types."""
+    rows = effective.groupBy("log_type").agg(F.sum("event_count").alias("event_count")).where("event_count <> 0")
+    return rows.orderBy(F.desc("event_count"), F.coalesce("log_type", F.lit(""))).limit(k)
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Findings with their place in their outcome's list."""
     w = Window.partitionBy("outcome").orderBy(F.desc("event_count"), "finding_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from tallylog.schema import OUTCOME_OF, OUTCOMES, Finding, Verification
@@ -18,27 +20,29 @@ class FindingPresentation:
     replay_error: str | None = None
 
 
+def state_of(f: Finding, v: Verification | None) -> str:
+    """A replay's state stands for the archive's, even where the replay failed."""
+    return f.observed_status if v is None else v.effective_state
+
+
 def present_finding(f: Finding, v: Verification | None) -> FindingPresentation:
-    if v is None:
-        return FindingPresentation(f.observed_status, f.log_type, f.observed_decoder, f.observed_rule_id, f.observed_rule_level)
-    from_archive = v.effective_state == "unverified"
-    decoder = f.observed_decoder if from_archive else v.decoder
-    log_type = f.log_type if from_archive else v.decoder or f.log_type
-    return FindingPresentation(v.effective_state, log_type, decoder, v.rule_id, v.rule_level, v.rule_description, v.error)
+    # A failed replay tells why it failed, but nothing of the decoder.
+    believed = v is not None and v.effective_state != "unverified"
+    decoder = v.decoder if believed else f.observed_decoder
+    rule = (v.rule_id, v.rule_level, v.rule_description, v.error) if v else (f.observed_rule_id, f.observed_rule_level)
+    return FindingPresentation(state_of(f, v), (believed and decoder) or f.log_type, decoder, *rule)
 
 
 def outcome_counts(states: dict[str, int]) -> dict[str, int]:
-    out = dict.fromkeys(OUTCOMES, 0)
+    """Events by outcome, every outcome in order."""
+    tally = Counter()
     for s, n in states.items():
-        out[OUTCOME_OF[s]] += n
-    return out
+        tally[OUTCOME_OF[s]] += n
+    return {o: tally[o] for o in OUTCOMES}
 
 
-def grouped(findings: tuple[Finding, ...], verifications) -> dict[str, list[tuple[Finding, Verification | None]]]:
+def grouped(findings: Iterable[Finding], verifications: Iterable[Verification]) -> dict[str, list[tuple[Finding, Verification | None]]]:
     """The findings of each outcome, largest first."""
     known = {v.finding_key: v for v in verifications}
-    out: dict[str, list] = {o: [] for o in OUTCOMES}
-    for f in sorted(findings, key=lambda f: (-f.event_count, f.finding_key)):
-        v = known.get(f.finding_key)
-        out[OUTCOME_OF[v.effective_state if v else f.observed_status]].append((f, v))
-    return out
+    pairs = [(f, known.get(f.finding_key)) for f in sorted(findings, key=lambda f: (-f.event_count, f.finding_key))]
+    return {o: [(f, v) for f, v in pairs if OUTCOME_OF[state_of(f, v)] == o] for o in OUTCOMES}

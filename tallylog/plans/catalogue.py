@@ -5,16 +5,21 @@ The tables have no security archive, so one is derived from ``events`` by fixed
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallylog.functions import expressions as X
+from tallylog.functions.suggest import regex_suggestion
 from tallylog.operators import counts as C
 from tallylog.operators import findings as G
+from tallylog.operators import relations as R
+from tallylog.operators.mining import held, release
 from tallylog.schema import OUTCOMES, STATUSES
-from tallylog.sources.archive import parse_events
+from tallylog.sources.archive import parse_events, read_archive
+from tallylog.sources.shared import shared_folder
 
 THRESHOLD = 3
 QUERIES, ORACLE = {}, {}
@@ -22,7 +27,13 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # What the query before kept for itself goes with it.
+            release()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -175,14 +186,13 @@ def eventchannel_findings(spark, sf_dir):
 
 @query(f"WITH {_classified_sql()} SELECT observed_status, log_type, r.full_log, r.location, r.rule_id, r.rule_level FROM (SELECT observed_status, log_type, min({{'full_log': full_log, 'location': location, 'rule_id': rule_id, 'rule_level': rule_level}}) AS r FROM classified GROUP BY 1, 2)")
 def representative_sample(spark, sf_dir):
-    order = [x for c in ("location", "rule_id", "rule_level") for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c))]
-    g = classified(spark, sf_dir).groupBy("observed_status", "log_type").agg(F.min(F.struct("full_log", *order)).alias("r"))
+    g = classified(spark, sf_dir).groupBy("observed_status", "log_type").agg(G.smallest("full_log", "location", "rule_id", "rule_level").alias("r"))
     return g.select("observed_status", "log_type", "r.full_log", "r.location", "r.rule_id", "r.rule_level")
 
 
 @query(f"WITH {_classified_sql()} SELECT log_type, count(DISTINCT agent_id) AS affected_agents FROM classified GROUP BY 1")
 def affected_agents(spark, sf_dir):
-    return classified(spark, sf_dir).groupBy("log_type").agg(F.count_distinct("agent_id").alias("affected_agents"))
+    return classified(spark, sf_dir).groupBy("log_type", "agent_id").agg(F.lit(1)).groupBy("log_type").agg(G.affected_agents().alias("affected_agents"))
 
 
 @query(f"WITH {_classified_sql()} SELECT observed_status, {_SHOWN.format('min(event_timestamp)')} AS first_seen, {_SHOWN.format('max(event_timestamp)')} AS last_seen FROM classified GROUP BY 1")
@@ -240,28 +250,21 @@ def _with_event_id(spark, sf_dir):
 
 @query(f"WITH {_ARCHIVE}, {_MESSAGES}, f AS (SELECT min(event_id) AS event_id FROM m GROUP BY md5(norm)) SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM archive WHERE event_id IN (SELECT event_id FROM f)")
 def semi_join_first_events(spark, sf_dir):
-    a = _with_event_id(spark, sf_dir)
-    first = a.groupBy(F.md5(X.normalize(F.col("full_log"))).alias("digest")).agg(F.min("event_id").alias("event_id"))
-    return a.join(first, "event_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    a = _with_event_id(spark, sf_dir).withColumn("digest", F.md5(X.normalize(F.col("full_log"))))
+    return R.first_of_each(a, "digest", "event_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT doc_id, CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - octet_length(encode(text)) AS BIGINT) // 65536 AS chunk FROM documents")
 def running_log_bytes(spark, sf_dir):
-    """A running sum in parallel: sums inside ranges of ids, moved by the totals of the ranges before."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    ranged = d.repartitionByRange(32, "doc_id").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    # One row a range, so this window is as small as the number of ranges.
-    before = ranged.groupBy("part").agg(F.sum("size").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.sum("size").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    out = ranged.withColumn("own", own).join(F.broadcast(before.select("part", "before")), "part").withColumn("running", F.col("own") + F.col("before"))
-    return out.select("doc_id", "running", F.expr("(running - size) div 65536").alias("chunk"))
+    return R.chunked(d, "doc_id", "size", 65536).select("doc_id", "running", "chunk")
 
 
-@query("""WITH t(event_type, template_id) AS (VALUES ('click', 1), ('view', 2)) SELECT e.event_type, t.template_id, CASE WHEN t.template_id IS NULL THEN md5(e.event_type) END AS orphan, count(*) AS n FROM events e LEFT JOIN t ON t.event_type = e.event_type GROUP BY ALL""")
+@query("""WITH t(event_type, template) AS (VALUES ('click', 'a <*>'), ('view', 'b <*>')) SELECT md5(e.event_type) AS digest, md5(t.template) AS template_id, CASE WHEN t.template IS NULL THEN md5(e.event_type) END AS orphan, count(*) AS n FROM events e LEFT JOIN t ON t.event_type = e.event_type GROUP BY ALL""")
 def left_join_orphans(spark, sf_dir):
-    t = spark.createDataFrame([("click", 1), ("view", 2)], "event_type string, template_id int")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").join(t, "event_type", "left")
-    return e.groupBy("event_type", "template_id", F.when(F.col("template_id").isNull(), F.md5("event_type")).alias("orphan")).agg(F.count(F.lit(1)).alias("n"))
+    t = spark.createDataFrame([("click", "a <*>"), ("view", "b <*>")], "event_type string, template string").select(F.md5("event_type").alias("digest"), "template")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.md5("event_type").alias("digest"))
+    return G.with_templates(e, t).groupBy("digest", "template_id", "orphan").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH ch AS (SELECT l_partkey % 500 AS cluster_id, l_orderkey * 10 + l_linenumber AS change, 'template ' || l_suppkey % 50 AS template FROM lineitem),
@@ -271,8 +274,7 @@ def canonical_template_id(spark, sf_dir):
     """The latest template of each cluster, and the smallest cluster with the same text."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     ch = li.select((F.col("l_partkey") % 500).alias("cluster_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change"), F.concat(F.lit("template "), (F.col("l_suppkey") % 50)).alias("template"))
-    last = ch.groupBy("cluster_id").agg(F.max_by("template", "change").alias("template"))
-    return last.join(last.groupBy("template").agg(F.min("cluster_id").alias("template_id")), "template").select("cluster_id", "template_id", "template")
+    return R.latest_templates(ch)
 
 
 # ---- replay, metrics and outcomes ----------------------------------------------------------------------------------
@@ -336,6 +338,12 @@ def primary_metrics(spark, sf_dir):
     return C.primary_metrics(_effective(spark, sf_dir), archive(spark, sf_dir).agg(F.count_if("is_malformed").alias("malformed")), complete=True)
 
 
+@query(f"WITH {_EFFECTIVE}, {_TOTALS} " + " UNION ALL ".join(_METRIC.format(*m) for m in (("malformed", "0", "n"), ("decoder_failure", "nd", "n"), ("below_threshold", "bt", "n"), ("uncertainty", "un", "n"))) + " UNION ALL SELECT 'uncovered', NULL, NULL, NULL, false")
+def primary_metrics_incomplete(spark, sf_dir):
+    """With a replay that is not complete the uncovered rate is not known."""
+    return C.primary_metrics(_effective(spark, sf_dir), archive(spark, sf_dir).agg(F.count_if("is_malformed").alias("malformed")), complete=False)
+
+
 _PER_TYPE = "r AS (SELECT log_type, CAST(sum(event_count) AS BIGINT) AS n, CAST(coalesce(sum(event_count) FILTER (state = 'no_decoder'), 0) AS BIGINT) AS nd, CAST(coalesce(sum(event_count) FILTER (state = 'uncovered'), 0) AS BIGINT) AS u, CAST(coalesce(sum(event_count) FILTER (state IN ('suppressed', 'below_threshold')), 0) AS BIGINT) AS bt FROM eff GROUP BY 1)"
 
 
@@ -354,7 +362,7 @@ def top_contributors(spark, sf_dir):
 
 @query(f"WITH {_EFFECTIVE} SELECT log_type, CAST(sum(event_count) AS BIGINT) AS event_count FROM eff GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def top_log_types(spark, sf_dir):
-    return _effective(spark, sf_dir).groupBy("log_type").agg(F.sum("event_count").alias("event_count")).orderBy(F.desc("event_count"), "log_type").limit(20)
+    return C.top_log_types(_effective(spark, sf_dir), 20)
 
 
 _ANSWER = "CASE event_id % 5 WHEN 0 THEN 'NoDecoder' WHEN 1 THEN 'NoRule' WHEN 2 THEN 'Error' ELSE 'RuleMatch' END"
@@ -396,19 +404,75 @@ def mined_template_counts(spark, sf_dir):
     """Templates of the lines of ``documents``."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = d.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("line <> ''").select(X.normalize(F.col("line")).alias("norm")).withColumn("digest", F.md5("norm"))
-    assigned = G.assign_templates(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    assigned = held(G.assign_templates(lines))
     return lines.select("digest").join(assigned, "digest").groupBy("template").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Messages whose templates follow from how they are made: a user and a small number vary, a long number is masked.
+_KNOWN = "concat(event_type, ' by user ', user_id, ' seen from gate ', event_id % 7, ' under id ', event_id + 100000)"
+_PART = "CASE WHEN count(DISTINCT {0}) > 1 THEN '<*>' ELSE CAST(min({0}) AS VARCHAR) END"
+
+
+def _known(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(X.normalize(F.expr(_KNOWN)).alias("norm"))
+    rows = e.withColumn("digest", F.md5("norm"))
+    return rows.join(held(G.assign_templates(rows)), "digest").groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KNOWN_SQL = f"SELECT event_type || ' by user ' || {_PART.format('user_id')} || ' seen from gate ' || {_PART.format('event_id % 7')} || ' under id <NUM>' AS template, count(*) AS n FROM events GROUP BY event_type"
+
+
+@query(_KNOWN_SQL)
+def mined_known_templates(spark, sf_dir):
+    """The miner's templates of messages of one family an event type."""
+    return _known(spark, sf_dir)
+
+
+@query(f"WITH k AS ({_KNOWN_SQL}) SELECT template, 'pcre2' AS dialect, '^' || replace(replace(template, '<*>', '\\S+'), '<NUM>', '[0-9]{{5,}}') || '$' AS expression FROM k")
+def suggested_expressions(spark, sf_dir):
+    """Suggested expressions for mined templates."""
+    return _known(spark, sf_dir).select("template", regex_suggestion(F.col("template")).alias("s")).select("template", "s.*")
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') || ' ' AS body FROM documents),
+d AS (SELECT *, regexp_matches(body, '[\^*+]') AS full_ FROM p)
+SELECT doc_id, CASE WHEN full_ THEN 'pcre2' ELSE 'osregex' END AS dialect,
+  '^' || CASE WHEN full_ THEN regexp_replace(body, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g') ELSE regexp_replace(body, '([$()\\|<])', '\\\1', 'g') END || '\S+$' AS expression FROM d""")
+def expressions_of_texts(spark, sf_dir):
+    """Suggested expressions for patterns of any characters: texts on one line, then a wildcard."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pattern = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "), F.lit(" <*>"))
+    return d.select("doc_id", regex_suggestion(pattern).alias("s")).select("doc_id", "s.*")
+
+
 @query()
 def regex_suggestions(spark, sf_dir):
     """A suggested expression for each mined finding."""
-    from tallylog.functions.suggest import suggest_regex
-
     found = _mined(spark, sf_dir).where("observed_status IN ('no_decoder', 'no_alerting_rule') AND coalesce(observed_decoder, '') <> 'windows_eventchannel'")
+    return found.select("finding_key", "message_pattern", regex_suggestion(F.col("message_pattern")).alias("s")).select("finding_key", "message_pattern", "s.*")
+
+
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir, codec: str) -> DataFrame:
+    """The lines of :func:`_lines` written as an NDJSON archive of several files, and read as one."""
+    at = f"{shared_folder(spark)}/tallylog-archive/{uuid.uuid4().hex}"
+    blank = F.explode(F.array("value", F.lit(""), F.lit("  ")))
+    _lines(spark, sf_dir).select(blank.alias("value")).write.option("compression", codec).text(at)
+    return read_archive(spark, at).groupBy("is_malformed", "agent_id", "rule_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FILES_SQL = f"WITH {_LINES} SELECT event_id % 9 <= 5 AS is_malformed, CASE WHEN event_id % 9 > 5 THEN json_extract_string(value, '$.agent.id') END AS agent_id, CASE WHEN event_id % 9 > 5 THEN CAST(json_extract_string(value, '$.rule.level') AS INTEGER) END AS rule_level, count(*) AS n FROM lines GROUP BY ALL"
+
+
+@query(_FILES_SQL)
+def archive_files(spark, sf_dir):
+    """Plain NDJSON files with blank lines between."""
+    return _files(spark, sf_dir, "none")
 
-    @F.udf("dialect string, expression string")
-    def suggest(pattern):
-        return suggest_regex(pattern)
 
-    return found.select("finding_key", "message_pattern", suggest("message_pattern").alias("s")).select("finding_key", "message_pattern", "s.*")
+@query(_FILES_SQL)
+def archive_files_gzip(spark, sf_dir):
+    """The same, compressed."""
+    return _files(spark, sf_dir, "gzip")

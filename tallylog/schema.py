@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 # ---- fixed values: the closed vocabularies ---------------------------------------------------------------------------
 
 STATUSES = ("no_decoder", "no_alerting_rule", "below_threshold", "at_or_above_threshold")
-PROCESSED = "at_or_above_threshold"
-DROPPED = ("no_decoder", "no_alerting_rule", "below_threshold")
 EFFECTIVE_STATES = ("no_decoder", "uncovered", "suppressed", "below_threshold", "at_or_above_threshold", "unverified")
 REPLAYABLE = ("no_decoder", "no_alerting_rule")
 UNALERTED = ("suppressed", "below_threshold")
@@ -53,7 +51,7 @@ EVENT_FIELDS = (
 )
 EVENTS = T.StructType([T.StructField("is_malformed", T.BooleanType(), False), *[T.StructField(n, {"timestamp": T.TimestampType(), "string": T.StringType(), "int": T.IntegerType()}[t]) for n, _, t in EVENT_FIELDS]])
 
-# ---- results ---------------------------------------------------------------------------------------------------------
+# ---- results; fixed values: the names of their fields, which callers read ---------------------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.functions.expressions import is_json_object, to_int, to_timestamp
+from tallylog.functions.expressions import boxed, field, holds_one_object, to_int, to_timestamp
 from tallylog.schema import EVENT_FIELDS
 
 
@@ -23,7 +23,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(paths)
     named = [paths] if isinstance(paths, str) else paths
     if all(p.endswith(".gz") for p in named):
-        # A gzip file is one task; what follows it need not be.
+        # A gzip file is one task; what follows it need not be. (A folder of many files has as many tasks.)
         lines = lines.repartition(max(8, spark.sparkContext.defaultParallelism))
     return lines.where(F.col("value").rlike(r"[^\s]"))
 
@@ -34,12 +34,11 @@ def _cast(text: Column, kind: str) -> Column:
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """The events relation of ``lines``: a fixed projection, never an inferred schema."""
-    spark = lines.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    value = F.col("value")
-    sound = is_json_object(value)
-    fields = [F.when(F.col("_ok"), _cast(F.get_json_object(value, path), kind)).alias(name) for name, path, kind in EVENT_FIELDS]
-    return lines.select("value", sound.alias("_ok")).select((~F.col("_ok")).alias("is_malformed"), *fields)
+    # Parsed once: the fields come from what the check has parsed. Only lines that repeat a key are read again.
+    box, value = F.col("_box"), F.col("value")
+    fields = [F.when(F.col("_ok"), _cast(field(box, value, path), kind)).alias(name) for name, path, kind in EVENT_FIELDS]
+    rows = lines.select("value", boxed(value).alias("_box")).select("value", "_box", holds_one_object(box, value).alias("_ok"))
+    return rows.select((~F.col("_ok")).alias("is_malformed"), *fields)
 
 
 def read_archive(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
@@ -51,6 +50,22 @@ def read_archive(spark: SparkSession, paths: str | list[str], strict: bool = Fal
     return events
 
 
+def located(spark: SparkSession, path: str | Path) -> tuple[Path | str, str]:
+    """(what to call an archive, what Spark reads). A local file is resolved; anything else must match on its file system."""
+    text = str(path)
+    if "://" not in text:
+        local = Path(text).expanduser().resolve()
+        if local.is_file() or local.is_dir():
+            # Its characters are meant literally, not as a glob.
+            return local, "file://" + re.sub(r"([\\*?\[\]{}])", r"\\\1", str(local))
+        if not glob.has_magic(text):
+            raise FileNotFoundError(local)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        raise FileNotFoundError(text)
+    return text, text
+
+
 def resolve_targets(targets: Iterable[str]) -> list[Path]:
     """The files that paths and globs (``**`` included) name: resolved, without repeats, in order of their paths."""
     found: set[Path] = set()

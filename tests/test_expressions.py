@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylog.functions import expressions as X
-from tallylog.functions.suggest import suggest_for_finding, suggest_regex, suggest_rule
+from tallylog.functions.suggest import regex_suggestion, suggest_for_finding, suggest_regex, suggest_rule
 from tallylog.schema import Finding, Verification
 
 STAMPS = [
@@ -82,3 +82,9 @@ def test_suggest_for_finding():
     heading, rule = suggest_for_finding(win, Verification("k", "suppressed", rule_id="61100"))
     assert heading == "Suggested rule (eventchannel)" and "<if_sid>61100</if_sid>" in rule and r"^P\.x$" in rule and "C&amp;: P.x event 7" in rule
     assert suggest_rule('{"win":{"system":{"providerName":"P","eventID":7}}}', "1") is None and suggest_rule("no", "1") is None
+
+
+def test_suggestions_as_a_column(spark):
+    patterns = ["Failed <*> from <*>", "cost $5 (a|b) <x", "id <NUM>.", "a+b <*>", "", "<*>", "<*><TIMESTAMP>x", "a\\b [c] {d} <UUID>-<HEX>", "^x$ é", "<TIMESTAMP"]
+    df = spark.createDataFrame([(p,) for p in patterns], "p string")
+    assert [tuple(r["s"]) for r in df.select(regex_suggestion(F.col("p")).alias("s")).collect()] == [suggest_regex(p) for p in patterns]
