@@ -197,8 +197,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("doc_id", "_y", "_s.*").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    # One text an id, whatever its rows, before anything goes to the driver.
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    rows = with_statistics(texts).select("doc_id", "_y", "_s.*").toPandas().sort_values("doc_id")
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
 
 

@@ -61,3 +61,12 @@ def test_few_or_odd_labels(spark, docs_of, labels):
 def test_empty_table(spark, docs_of):
     table = spark.createDataFrame([], "doc_id long, quality int")
     assert m.keep_good(docs_of([]), table).count() == 0
+
+
+def test_rows_of_one_id_are_one_text_in_any_order(spark):
+    """A labelled id repeated with other texts: one of them is fitted, and the order of the rows decides nothing."""
+    rows = made(150, 6)
+    texts = [r[:2] for r in rows] + [(r[0], f"{r[1]} {k}") for r in rows[:30] for k in range(40)]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    once, back = (m.learn(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (texts, texts[::-1]))
+    assert once == back == m.learn(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels)
