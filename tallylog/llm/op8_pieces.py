@@ -72,6 +72,11 @@ class Vocabulary:
         short = F.char_length(unit) <= LONGEST
         return short & ~F.contains(unit, F.lit(MARK * 2)) if self.tied else short
 
+    @property
+    def merges(self) -> bool:
+        """Whether scores are ranks of merges: whole numbers, as BPE vocabularies have, not logarithms of probabilities."""
+        return all(x == int(x) for x, m in zip(self.scores, self.matched, strict=True) if m)
+
     @property
     def longest(self) -> int:
         return max(len(p) for p, m in zip(self.pieces, self.matched, strict=True) if m)
@@ -267,6 +272,8 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, dictionary: int = DICTI
     spark = docs.sparkSession
     small_batches(spark)
     v = v or vocabulary()
+    if not v.merges:
+        raise ValueError("the vocabulary is no BPE one: encode() folds by merges; lattice(..., fold='viterbi') serves unigram vocabularies")
     top = written(frequent(docs, v, dictionary))
     known = lattice(top, [], v).toArrow()
     at, flat = known["ids"].combine_chunks().offsets.to_numpy(), known["ids"].combine_chunks().flatten().to_numpy().astype("<i4").tobytes()

@@ -66,3 +66,23 @@ def test_units_never_cut_a_piece(vocabulary):
     unit = regex.compile(vocabulary.unit)
     for p, ok in zip(vocabulary.pieces, vocabulary.matched, strict=True):
         assert not ok or unit.fullmatch(p)
+
+
+def test_query_against_the_library(spark, sf_dir):
+    import hashlib
+
+    import numpy as np
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=m.MODEL)
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array(lib.encode(r["text"] or ""), dtype="<i4")
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    got = m.op8_pieces(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_ids"], r["ids_sha256"]) for r in got} == want and all(r["round_trip"] for r in got)
+
+
+def test_unigram_vocabularies_are_refused(spark, docs_of):
+    v = m.Vocabulary(("a", "b"), (-1.5, -2.25), (True, True), 100)
+    with pytest.raises(ValueError, match="viterbi"):
+        m.encode(docs_of([(1, "ab")]), v)
