@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallylog.llm.common import lower_ascii, packed, unpacked, with_row_key, written
+from tallylog.llm.common import discard, lower_ascii, packed, unpacked, with_row_key, written
 
 WINDOW = 10
 #: Different benchmark terms, and words of all different windows together, up to which those tables are broadcast; beyond it they are joined by shuffle.
@@ -131,8 +131,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit."""
     keyed = with_row_key(packed(docs), "doc_id", "text")
-    hits, _ = phrase_matches(keyed.select("_k1", "_k2", "text"), cut_words(keyed), items, size)
-    return unpacked(keyed.join(hits.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti"), docs.columns)
+    cut = cut_words(keyed)
+    hits, _ = phrase_matches(keyed.select("_k1", "_k2", "text"), cut, items, size)
+    hit = written(hits.select("_k1", "_k2").distinct())
+    discard(cut)
+    return unpacked(keyed.join(hit, ["_k1", "_k2"], "left_anti"), docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
