@@ -5,9 +5,10 @@ root of its rows, but at least ``pivots`` and at most ``MOST_PIVOTS``; every vec
 From each cell comes a summary: its row count and its largest distance from the pivot. For a query q and a cell with pivot p
 and radius r every inner product lies within q.p -+ |q| r. The cells' lower bounds, with their counts, give a value
 that the k-th best score of q cannot be under; q goes only to cells whose upper bound reaches it. A cell is cut into chunks of a
-bounded number of rows, so a vector that makes up a third of the table fills many chunks and no task, and the queries of a
-cell into blocks of a bounded number. A chunk is copied to those blocks alone that hold a query for its cell. Each such pair is
-solved by one matrix product, and the top k of all pairs are merged.
+bounded number of rows, so a vector that makes up a third of the table fills many chunks and no task. The queries are laid out by
+cell, cells that lie near each other side by side, and cut into blocks of a bounded number, so that the queries of a block need the same
+cells. A chunk is copied to those blocks alone that hold a query for its cell. Each such pair is solved by one matrix product, and the
+top k of all pairs are merged.
 
 Only the most frequent vector lengths (``LENGTHS``) have pivots, which bounds what the driver holds. Vectors of any other length
 make one cell, whose chunks meet all queries of that length.
@@ -79,6 +80,22 @@ def _ranks(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def _laid_out(queries: dict[int, int], pivots: np.ndarray, block: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, blocks) for the number of ``queries`` in each cell: cells in the order of their pivots along the
+    direction in which these spread most, small ones together in a block, large ones in several of their own.
+    """
+    middle = pivots - pivots.mean(axis=0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    out, at, full = [], 0, 0
+    for cell in sorted(queries, key=lambda c: along[c]):
+        n = queries[cell]
+        if full and full + n > block:
+            at, full = at + 1, 0
+        out.append((cell, at, -(-n // block)))
+        at, full = (at + -(-n // block), 0) if n > block else (at, full + n)
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, pivots: int = PIVOTS, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best rows of ``vectors`` for each row of ``queries``."""
     spark = vectors.sparkSession
@@ -117,8 +134,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).join(own, "id", "left")
     asked = asked.select("id", "v", "dim", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
     asked = written(asked.mapInPandas(nearest, "id long, v array<double>, dim int, own long, cell int, far double").withColumnRenamed("cell", "home"))
-    blocks = written(asked.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
-    asked = asked.join(blocks, ["dim", "home"]).select("id", "v", "dim", "own", "home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    homes = written(asked.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("n")))
+    laid = [(int(d), *r) for d, g in homes.where(pruned).toPandas().groupby("dim") for r in _laid_out(dict(zip(g["home"].tolist(), g["n"].tolist(), strict=True)), by_dim[d], block)]
+    blocks = spark.createDataFrame(laid, "dim int, home int, base int, blocks int")
+    blocks = blocks.unionByName(homes.where(~pruned).select("dim", "home", F.lit(0).alias("base"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    asked = asked.join(blocks, ["dim", "home"]).select("id", "v", "dim", "own", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("block"))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each query once for every cell that may hold one of its k best."""
@@ -139,15 +159,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                 at, to = np.nonzero(high >= least[:, None])
                 for lo in range(0, len(at), 4096):
                     i, j = at[lo : lo + 4096], to[lo : lo + 4096]
-                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "parts": f["parts"].to_numpy()[j]} | {c: own[c].to_numpy()[i] for c in ("home", "block", "id")} | {"v": [own["v"].iloc[x] for x in i]})
+                    yield pd.DataFrame({"dim": np.full(len(i), d, dtype=np.int32), "cell": f["cell"].to_numpy()[j], "parts": f["parts"].to_numpy()[j]} | {c: own[c].to_numpy()[i] for c in ("block", "id")} | {"v": [own["v"].iloc[x] for x in i]})
 
-    sent = asked.where(pruned).mapInPandas(needed, "dim int, cell int, parts int, home int, block int, id long, v array<double>")
-    other = asked.where(~pruned).join(summary.select("dim", "cell", "parts"), "dim").select("dim", "cell", "parts", "home", "block", "id", "v")
+    sent = asked.where(pruned).mapInPandas(needed, "dim int, cell int, parts int, block int, id long, v array<double>")
+    other = asked.where(~pruned).join(summary.select("dim", "cell", "parts"), "dim").select("dim", "cell", "parts", "block", "id", "v")
     sent = written(sent.unionByName(other))
     parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    met = written(sent.select("dim", "cell", "parts", "home", "block").distinct()).select("dim", "cell", "home", "block", parts)
+    met = written(sent.select("dim", "cell", "parts", "block").distinct()).select("dim", "cell", "block", parts)
     dealt = dealt.join(met, ["dim", "cell", "part"])
-    sent = sent.select("dim", "cell", "home", "block", "id", "v", parts)
+    sent = sent.select("dim", "cell", "block", "id", "v", parts)
 
     def solve(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -165,7 +185,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                 out["score"] += row[best].tolist()
         return pd.DataFrame(out).astype("int64")
 
-    keys = ["dim", "cell", "part", "home", "block"]
+    keys = ["dim", "cell", "part", "block"]
     local = sent.select(*keys, "id", "v").groupBy(*keys).cogroup(dealt.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

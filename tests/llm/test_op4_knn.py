@@ -51,10 +51,24 @@ def test_chunks_go_only_where_they_are_needed(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in m.top_k(df, df.where("vec_id < 40"), 10, pivots=6, chunk=20, block=8).collect())
     assert got == brute(rows, range(40), 10)
-    met = seen[-1].toPandas()
-    side = {(int(x["dim"]), int(x["cell"])): x["id"] % 2 for x in seen[0].toPandas().to_dict("records")}
-    homes = {int(x["home"]): x["id"] % 2 for x in seen[3].toPandas().to_dict("records")}
-    assert len(met) and all(side[x["dim"], x["cell"]] == homes[x["home"]] for x in met.to_dict("records"))
+    side = {int(x["cell"]): x["id"] % 2 for x in seen[0].toPandas().to_dict("records")}
+    sides = {}
+    for x in seen[-2].toPandas().to_dict("records"):
+        sides.setdefault(x["block"], set()).add(x["id"] % 2)
+    met = seen[-1].toPandas().to_dict("records")
+    # A block meets the cells of its own queries' side; one block lies where the sides meet.
+    assert 5 <= len(sides) <= 10 and len(met) and all(side[x["cell"]] in sides[x["block"]] for x in met) and sum(len(x) > 1 for x in sides.values()) <= 1
+
+
+def test_cells_are_packed_into_blocks():
+    pivots = np.array([[0.0, 0], [10, 0], [1, 0], [11, 0], [5, 0]])
+    got = {c: (b, n) for c, b, n in m._laid_out({0: 3, 1: 4, 2: 2, 3: 25, 4: 9}, pivots, 10)}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0][0] == got[2][0] and got[3][1] == 3
+    held = {}
+    for c, n in {0: 3, 1: 4, 2: 2, 3: 25, 4: 9}.items():
+        for k in range(got[c][1]):
+            held[got[c][0] + k] = held.get(got[c][0] + k, 0) + -(-n // got[c][1])
+    assert max(held.values()) <= 10
 
 
 def test_many_lengths_and_extra_columns(spark):
