@@ -89,3 +89,27 @@ def test_labelled_families_are_pure(seed):
     for m, t in mine_all(label).items():
         seen.setdefault(t, set()).add(label[m])
     assert all(len(s) == 1 for s in seen.values()) and len(seen) <= 3 * len(FAMILIES)
+
+
+def test_sweep_of_depth_and_similarity(spark):
+    from tallylog.operators.tuning import Trial, best, sweep, trial
+
+    r = random.Random(7)
+    label = {make(r): name for name, make in FAMILIES.items() for _ in range(60)}
+    rows = [Trial(*x) for x in sweep(spark, label, (4, 5), (0.3, 0.56, 0.95)).collect()]
+    assert len(rows) == 6 and trial(label, MinerConfig()) in rows
+    strict = next(x for x in rows if x.similarity == 0.95 and x.depth == 4)
+    chosen = best(rows)
+    assert strict.templates > chosen.templates and not chosen.mixed and strict.split >= chosen.split
+
+
+def test_hot_groups_are_mined_in_parts(spark):
+    """Groups of more messages than a miner keeps: the families' templates come out of the parts as one each."""
+    texts = sorted({f"w{i} logged in from host{i * 7 % 1000} with key {c}" for i in range(900) for c in "ab"})
+    df = spark.createDataFrame([(t,) for t in texts], "norm string").withColumn("digest", F.md5("norm"))
+    got = df.join(mine(df, MinerConfig(max_clusters=200)), "digest").select("norm", "template").collect()
+    assert sorted(r["norm"] for r in got) == texts and {r["template"] for r in got} == {"<*> logged in from <*> with key <*>"}
+    # Messages without any common shape stay apart, and none is lost.
+    odd = sorted({" ".join(f"{c}{i}" for c in "pqrst") for i in range(700)})
+    df = spark.createDataFrame([(t,) for t in odd], "norm string").withColumn("digest", F.md5("norm"))
+    assert {(r["digest"], r["template"]) for r in mine(df, MinerConfig(max_clusters=100)).collect()} == {(r["digest"], r["norm"]) for r in df.collect()}
