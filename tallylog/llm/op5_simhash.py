@@ -3,7 +3,8 @@
 A fingerprint is cut into ``blocks`` parts. Two fingerprints that differ in at most
 ``max_bits`` bits leave at least ``blocks - max_bits`` parts untouched, so they meet in one of the
 tables keyed by that many parts together. Keys of several parts keep chance meetings rare, where single
-parts would meet with the square of the input.
+parts would meet with the square of the input; the number of parts grows with that of the different fingerprints (``blocks_for``), so
+that a key has fewer of them than one by chance at every size.
 
 A key that many different fingerprints share (a large family of near copies) is not joined with
 itself. Fingerprints within 4 bits of each other have a common midpoint within 2 bits of
@@ -31,7 +32,7 @@ from tallylog.llm.common import connected_components, packed, small_batches, uni
 BITS = 64
 #: Differing bits up to which two fingerprints link.
 MAX_BITS = 4
-#: Parts of a fingerprint. 7 parts make 35 tables of keys with 27 or 28 bits.
+#: Parts of a fingerprint, at least. 7 parts make 35 tables of keys with 27 or 28 bits.
 BLOCKS = 7
 #: Different fingerprints under one key from which midpoints take the place of pairs.
 HOT_KEY = 256
@@ -88,6 +89,14 @@ def _parts(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The least number of parts whose keys tell ``n`` random fingerprints apart: 7 up to 67 million, 8 up to 2 billion."""
+    blocks = BLOCKS
+    while 2 ** (sum(sorted(width for _, width in _parts(blocks))[: blocks - max_bits]) - 1) < n and blocks < 3 * max_bits:
+        blocks += 1
+    return blocks
+
+
 def _mask(parts: tuple[tuple[int, int], ...]) -> int:
     bits = sum(((1 << width) - 1) << shift for shift, width in parts)
     return bits - (1 << 64) if bits >= 1 << 63 else bits
@@ -139,23 +148,23 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, h
     return union([pairs, far])
 
 
-def _labelled(docs: DataFrame, size: int, max_bits: int, blocks: int, hot_key: int) -> DataFrame:
+def _labelled(docs: DataFrame, size: int, max_bits: int, blocks: int | None, hot_key: int) -> DataFrame:
     """doc_id, row key, fingerprint, component label ``c`` and component_id for each row."""
     prints = written(fingerprints(with_row_key(docs.select("doc_id", "text"), "doc_id", "text"), size).drop("text"))
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
-    cc = connected_components(links(distinct.select("fingerprint"), max_bits, blocks, hot_key))
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    cc = connected_components(links(distinct.select("fingerprint"), max_bits, blocks or blocks_for(distinct.count(), max_bits), hot_key))
     named = distinct.join(cc, F.col("node") == F.col("fingerprint"), "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("c"))
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "c").select(F.col("fingerprint").alias("f"), "c", "component_id")
     return prints.join(named, F.col("f") == F.col("fingerprint")).drop("f")
 
 
-def components(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot_key: int = HOT_KEY) -> DataFrame:
+def components(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks: int | None = None, hot_key: int = HOT_KEY) -> DataFrame:
     """doc_id, fingerprint (long) and component_id for each row of ``docs``."""
     return _labelled(docs, size, max_bits, blocks, hot_key).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot_key: int = HOT_KEY) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks: int | None = None, hot_key: int = HOT_KEY) -> DataFrame:
     """The rows of ``docs`` with one left of each component: that of the smallest doc_id, null ids last.
 
     Rows that repeat an id inside a component are told apart by a hash of their text.
@@ -165,6 +174,17 @@ def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks
     return unpacked(with_row_key(packed(docs), "doc_id", "text").join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), docs.columns)
 
 
+def one_of_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The same for texts whose sets of ``size``-word shingles have a similarity of 0.8 or more.
+
+    Fingerprints do not hold that line: at 0.8 they differ in about 10 of 64 bits, with a spread of 3, and no choice of parts is selective
+    at 16 bits or more. So the shingles' minima take the fingerprints' place, and the sets decide (:mod:`tallylog.llm.similar`).
+    """
+    from tallylog.llm.similar import one_of_similar
+
+    return one_of_similar(docs, size)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -85,3 +85,14 @@ def test_whole_operator(spark, docs_of):
     assert kept.columns == docs.columns
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == sorted(set(want.values())) and kept.where("doc_id IS NULL").count() == 1
     assert m.components(docs.limit(0)).count() == 0 and m.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_parts_grow_with_the_fingerprints(spark):
+    assert [m.blocks_for(n) for n in (0, 10**6, 2**26, 2**26 + 1, 2**31, 10**10)] == [7, 7, 7, 8, 8, 9]
+    r = random.Random(2)
+    prints = [r.getrandbits(64) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in r.sample(range(64), k)) for p in prints[:20] for k in (4, 5)]
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fingerprint long").distinct()
+    want = {tuple(sorted((a, b))) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 4}
+    got = {tuple(sorted((x["a"] & (1 << 64) - 1, x["b"] & (1 << 64) - 1))) for x in m.links(df, 4, 9).collect()}
+    assert got == want
