@@ -14,7 +14,7 @@ from tallylog.sources.shared import remove, shared_folder
 
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit a worker.
 BATCH_ROWS = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -44,8 +44,8 @@ PASSAGE, PASSAGE_GRAM = 51, 8
 HOT_ANCHOR = 512
 #: Starts of a short run, into which the runs of such an anchor are cut.
 STEP = 16
-#: Bytes that are taken in hand at a time; longer texts are cut into pieces that overlap by ``length`` - 1.
-PIECE = 2 << 20
+#: Units that are taken in hand at a time; longer texts are cut into pieces that overlap by ``length`` - 1.
+PIECE = 1 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Kinds of units, and the bytes that stand for one in a run: a byte itself, or a word's hash.
@@ -270,6 +270,16 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.append(cut, len(starts)) - 1] + length
 
 
+def merged(spans: np.ndarray) -> list[list[int]]:
+    """The union of spans [s, e), rows of an array in any order, as maximal spans."""
+    if not len(spans):
+        return []
+    s, e = spans[np.argsort(spans[:, 0], kind="stable")].T
+    reach = np.maximum.accumulate(e)
+    cut = np.flatnonzero(s[1:] > reach[:-1]) + 1
+    return np.stack([s[np.concatenate([[0], cut])], reach[np.append(cut, len(s)) - 1]], axis=1).tolist()
+
+
 _FETCHED = "_k1 long, _k2 long, unit byte, key long, n long, lo long, w long, off long, part binary"
 
 
@@ -422,7 +432,7 @@ def _several() -> Column:
 
 
 def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE), grams: tuple[int, int] = (GRAM, PASSAGE_GRAM), hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """(_k1, _k2, spans): for each row with any the (unit, s, e) that repeated strings cover, in bytes and in words. They may overlap."""
+    """(_k1, _k2, spans): for each row with any what repeated strings cover, in bytes and in words: unit, s, e, one after another. They may overlap."""
     byte, word = F.col("unit") == _BYTE, F.col("unit") == _WORD
     every = written(anchored(keyed, lengths, grams))
     # Aggregates are written before they are joined, so that joins read two plain tables and a hot anchor can be split.
@@ -447,7 +457,8 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE
     found = [named(_sorted_spans(rest.where(F.col("unit") == u), u, lengths[u]), u) for u in (_BYTE, _WORD)]
     found += [named(_counted_spans(hot.where(byte), lengths[_BYTE]), _BYTE), named(_counted_passages(hot.where(word), lengths[_WORD]), _WORD)]
     # By row, and written, so that what leads here can go before the texts are joined to it.
-    spans = written(union([whole, *found]).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans")))
+    one = F.array(F.col("unit").cast("long"), F.col("s"), F.col("e"))
+    spans = written(union([whole, *found]).groupBy("_k1", "_k2").agg(F.flatten(F.collect_set(one)).alias("spans")))
     discard(shared, kinds, fetched)
     return spans
 
@@ -459,28 +470,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     spans = repeated_spans(keyed, (length, passage), (gram, passage_gram), hot_anchor)
     rows = keyed.join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
 
-    def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for s, e in sorted(spans):
-            if out and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            else:
-                out.append([s, e])
-        return out
-
     @F.pandas_udf("kept binary, removed array<struct<s: long, e: long>>, n_bytes long, passages array<struct<s: long, e: long>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
             out: dict[str, list] = {"kept": [], "removed": [], "n_bytes": [], "passages": []}
             for text, own in zip(texts, lists, strict=True):
                 raw = _bytes(text)
-                each = own if own is not None else ()
-                gone, words = (merged([(r["s"], r["e"]) for r in each if r["unit"] == u]) for u in (_BYTE, _WORD))
-                at, parts = 0, []
-                for s, e in gone:
-                    parts.append(raw[at:s])
-                    at = e
-                out["kept"].append(b"".join([*parts, raw[at:]]))
+                each = np.asarray(own if own is not None else [], dtype=np.int64).reshape(-1, 3)
+                gone, words = (merged(each[each[:, 0] == u, 1:]) for u in (_BYTE, _WORD))
+                edges = [0, *[x for span in gone for x in span], len(raw)]
+                out["kept"].append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 out["removed"].append([{"s": s, "e": e} for s, e in gone])
                 out["n_bytes"].append(len(raw))
                 out["passages"].append([{"s": s, "e": e} for s, e in words])
