@@ -15,7 +15,7 @@ filed under its window's smallest k-gram (its anchor), and equal strings meet in
 
 Beside the removal, which goes by bytes alone, the same steps over words (maximal runs without white space) find passages of
 ``passage`` words that also stand in another document, whatever their length in bytes and the white space in them. They are reported and not
-removed. Their suffixes are sorted as arrays of the words' hashes; under hot anchors their windows are counted.
+removed. Where runs of words differ their windows are counted, hot anchor or not.
 
 Defined results: texts are UTF-8 bytes; a null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each
 other; null ids keep their rows. Strings are judged on the input, overlaps count, and matches never cross texts. For passages rows
@@ -153,16 +153,16 @@ def anchored(docs: DataFrame, lengths: tuple[int, int], grams: tuple[int, int])
 
 
 class Suffixes:
-    """Prefix polynomial hashes over units (bytes, or hashes of words), and the comparison of suffixes by them."""
+    """Prefix polynomial hashes over bytes, and the comparison of suffixes by them."""
 
-    def __init__(self, data: bytes | np.ndarray, base: int) -> None:
-        self.data = np.frombuffer(data, dtype=np.uint8) if isinstance(data, bytes) else data
+    def __init__(self, data: bytes, base: int) -> None:
+        self.data = np.frombuffer(data, dtype=np.uint8)
         n = len(self.data)
         power = np.full(n + 1, base, dtype=np.uint64)
         power[0] = 1
         self.power = np.cumprod(power, dtype=np.uint64)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_TABLE[self.data] if self.data.dtype == np.uint8 else self.data) * self.power[:-1], dtype=np.uint64, out=self.prefix[1:])
+        np.cumsum(_TABLE[self.data] * self.power[:-1], dtype=np.uint64, out=self.prefix[1:])
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """The length of the common extension of the suffixes at a and b, up to ``most``: binary search over equal hashes."""
@@ -223,45 +223,29 @@ def sort_suffixes(s: Suffixes, starts: np.ndarray, classes: np.ndarray, most: in
     return order
 
 
-def equal_strings(data: bytes | np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
-    """A number for the string of ``length`` units at each start: the same for equal strings of one class."""
+def repeated(data: bytes, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each start also stands at another start of its class."""
     for base in _BASES:
         s = Suffixes(data, base)
         order = sort_suffixes(s, starts, classes, length)
         a, b = order[:-1], order[1:]
         same = (classes[a] == classes[b]) & (s.common(starts[a], starts[b], length) >= length)
         if _verified(data, starts[a[same]], starts[b[same]], length):
-            out = np.empty(len(starts), dtype=np.int64)
-            out[order] = np.concatenate([[0], np.cumsum(~same)])[: len(starts)]
+            out = np.zeros(len(starts), dtype=bool)
+            out[a[same]] = out[b[same]] = True
             return out
     raise ArithmeticError("every base met a hash collision")
 
 
-def repeated(data: bytes | np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of ``length`` units at each start also stands at another start of its class."""
-    number = equal_strings(data, starts, classes, length)
-    return np.bincount(number, minlength=1)[number] > 1
-
-
-def in_several(number: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each string stands in more than one row, or in one that is ``known`` to stand for several."""
-    first, last, any_ = np.full(number.max(initial=-1) + 1, row.max(initial=0) + 1), np.full(number.max(initial=-1) + 1, -1), np.zeros(number.max(initial=-1) + 1, dtype=bool)
-    np.minimum.at(first, number, row)
-    np.maximum.at(last, number, row)
-    np.logical_or.at(any_, number, known)
-    return ((first != last) | any_)[number]
-
-
-def _verified(data: bytes | np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> bool:
-    """Compare the units behind equal hashes; pairs that run in step are compared once."""
-    raw, width = (data, 1) if isinstance(data, bytes) else (data.tobytes(), data.itemsize)
+def _verified(data: bytes, a: np.ndarray, b: np.ndarray, length: int) -> bool:
+    """Compare the bytes behind equal hashes; pairs that run in step are compared once."""
     by = np.lexsort((a, b - a))
     a, b = a[by], b[by]
     if not len(a):
         return True
     cut = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1
     lo, hi = np.concatenate([[0], cut]), np.append(cut, len(a)) - 1
-    return all(raw[s * width : (e + length) * width] == raw[t * width : (t + e - s + length) * width] for s, e, t in zip(a[lo].tolist(), a[hi].tolist(), b[lo].tolist(), strict=True))
+    return all(data[s : e + length] == data[t : t + e - s + length] for s, e, t in zip(a[lo].tolist(), a[hi].tolist(), b[lo].tolist(), strict=True))
 
 
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,11 +293,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, int]) -> Data
 _SPAN = "_k1 long, _k2 long, s long, e long"
 
 
-def _sorted_spans(fetched: DataFrame, unit: int, length: int) -> DataFrame:
-    """The repeated spans among runs that share an anchor, found by suffix sorting. Groups stay whole in a task.
-
-    In bytes a string repeats wherever it stands twice; in words, if it stands in more than one row.
-    """
+def _sorted_spans(fetched: DataFrame, length: int) -> DataFrame:
+    """The repeated spans among runs that share an anchor, found by suffix sorting. Groups stay whole in a task."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -335,8 +316,7 @@ def _sorted_spans(fetched: DataFrame, unit: int, length: int) -> DataFrame:
     def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         parts = rows["part"].tolist()
         data = b"".join(parts)
-        data = data if unit == _BYTE else np.frombuffer(data, dtype=np.uint64)
-        place = np.concatenate([[0], np.cumsum([len(p) // _WIDTH[unit] for p in parts])[:-1]]).astype(np.int64)
+        place = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
         lo, count, off = (rows[c].to_numpy(np.int64) for c in ("lo", "w", "off"))
         which = np.repeat(np.arange(len(rows)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -356,11 +336,7 @@ def _sorted_spans(fetched: DataFrame, unit: int, length: int) -> DataFrame:
         alone = edge & np.append(edge[1:], True)
         kept = by[~alone]
         k1, k2, n = rows["_k1"].to_numpy(), rows["_k2"].to_numpy(), rows["n"].to_numpy()
-        if unit == _BYTE:
-            found[kept] = repeated(data, starts[kept], classes[kept], length)
-        else:
-            row = np.unique(np.stack([k1, k2]), axis=1, return_inverse=True)[1].reshape(-1)
-            found[kept] = in_several(equal_strings(data, starts[kept], classes[kept], length), row[which[kept]], n[which[kept]] > 1)
+        found[kept] = repeated(data, starts[kept], classes[kept], length)
         out = {"_k1": [], "_k2": [], "s": [], "e": []}
         ends = np.cumsum(count)
         for i in np.flatnonzero((n == 1) & (np.add.reduceat(found, ends - count) > 0)):
@@ -454,8 +430,11 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE
     discard(mixed)
     hot, rest = fetched.where("hot IS NOT NULL").drop("hot"), fetched.where("hot IS NULL").drop("hot")
     named = lambda df, unit: df.select("_k1", "_k2", F.lit(unit).cast("byte").alias("unit"), "s", "e")
-    found = [named(_sorted_spans(rest.where(F.col("unit") == u), u, lengths[u]), u) for u in (_BYTE, _WORD)]
-    found += [named(_counted_spans(hot.where(byte), lengths[_BYTE]), _BYTE), named(_counted_passages(hot.where(word), lengths[_WORD]), _WORD)]
+    found = [
+        named(_sorted_spans(rest.where(byte), lengths[_BYTE]), _BYTE),
+        named(_counted_spans(hot.where(byte), lengths[_BYTE]), _BYTE),
+        named(_counted_passages(fetched.where(word), lengths[_WORD]), _WORD),
+    ]
     # By row, and written, so that what leads here can go before the texts are joined to it.
     one = F.array(F.col("unit").cast("long"), F.col("s"), F.col("e"))
     spans = written(union([whole, *found]).groupBy("_k1", "_k2").agg(F.flatten(F.collect_set(one)).alias("spans")))
