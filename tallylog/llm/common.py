@@ -40,16 +40,18 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Remove tables of :func:`written` once all that is computed from them has been written itself.
-
-    Shuffle files of the jobs that led to them go with the plans that refer to them: the collections ask Spark's cleaner to look now.
-    """
+    """Remove tables of :func:`written` once all that is computed from them has been written itself."""
     for df in frames:
         entry = (df.sparkSession, df.__dict__["_written_at"])
         remove(*entry)
         _written.remove(entry)
+    settle(frames[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are done go with the plans that refer to them: have Spark's cleaner look for those now."""
     gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register

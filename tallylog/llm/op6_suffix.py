@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import discard, small_batches, union, with_row_key, written
+from tallylog.llm.common import discard, settle, small_batches, union, with_row_key, written
 
 LENGTH = 400
 #: Bytes of a k-gram (a power of two, at most ``length``).
@@ -399,7 +399,10 @@ def _counted_passages(fetched: DataFrame, length: int) -> DataFrame:
     """The windows of words that stand in more than one document; ``n`` is 2 where the whole run does already."""
     w = written(_windows(fetched, length, _WIDTH[_WORD]))
     many = written(w.groupBy("w1", "w2").agg(F.max("n").alias("n"), _several().alias("several")).where("several OR n > 1").select("w1", "w2"))
-    return w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e"))
+    settle(w.sparkSession)
+    out = written(w.where("n = 1").join(many, ["w1", "w2"]).select("_k1", "_k2", "s", (F.col("s") + length).alias("e")))
+    discard(w, many)
+    return out
 
 
 def _several() -> Column:
