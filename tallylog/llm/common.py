@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,17 @@ def discard(*frames: DataFrame) -> None:
     settle(frames[0].sparkSession)
 
 
+def written_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``make``; the tables that ``make`` wrote on the way are removed."""
+    at = len(_written)
+    out = written(make())
+    for entry in _written[at:-1]:
+        remove(*entry)
+    del _written[at:-1]
+    settle(out.sparkSession)
+    return out
+
+
 def settle(spark: SparkSession) -> None:
     """Shuffle files of jobs that are done go with the plans that refer to them: have Spark's cleaner look for those now."""
     gc.collect()

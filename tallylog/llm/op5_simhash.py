@@ -56,18 +56,22 @@ def _hashes(text: str | None, size: int) -> list[int]:
     return [digest(line[s:e], 42) for s, e in zip(starts, ends[size - 1 :], strict=True)]
 
 
+def _of_hashes(h: np.ndarray) -> np.uint64:
+    """The fingerprint of a text's shingle hashes, as uint64."""
+    if not len(h):
+        return np.uint64(0)
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), _UNPACK):
+        part = h[at : at + _UNPACK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+
+
 def simhash(texts: list[str | None], size: int = 4) -> np.ndarray:
     """The fingerprint of each text, as int64."""
     out = np.zeros(len(texts), dtype=np.uint64)
     for i, text in enumerate(texts):
-        h = np.array(_hashes(text, size), dtype=np.uint64)
-        if not len(h):
-            continue
-        ones = np.zeros(BITS, dtype=np.int64)
-        for at in range(0, len(h), _UNPACK):
-            part = h[at : at + _UNPACK].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+        out[i] = _of_hashes(np.array(_hashes(text, size), dtype=np.uint64))
     return out.view(np.int64)
 
 
@@ -174,11 +178,27 @@ def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, blocks
     return unpacked(with_row_key(packed(docs), "doc_id", "text").join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), docs.columns)
 
 
+def set_links(prints: DataFrame, max_bits: int = MAX_BITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """(a, b) with a < b: sets (``set_id``) that the links between their fingerprints tie together.
+
+    Sets with one fingerprint are tied to the smallest of them, which also stands for the fingerprint in its links to others.
+    """
+    marks = written(prints.select("set_id", "fingerprint").distinct())
+    low = written(marks.groupBy("fingerprint").agg(F.min("set_id").alias("low")))
+    blocks = blocks_for(low.count(), max_bits)
+    close = links(low.select("fingerprint"), max_bits, blocks, hot_key)
+    one, other = low.select(F.col("fingerprint").alias("a"), F.col("low").alias("x")), low.select(F.col("fingerprint").alias("b"), F.col("low").alias("y"))
+    apart = close.join(one, "a").join(other, "b").select("x", "y")
+    same = marks.join(low, "fingerprint").select(F.col("low").alias("x"), F.col("set_id").alias("y"))
+    return union([apart, same]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def one_of_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """The same for texts whose sets of ``size``-word shingles have a similarity of 0.8 or more.
 
-    Fingerprints do not hold that line: at 0.8 they differ in about 10 of 64 bits, with a spread of 3, and no choice of parts is selective
-    at 16 bits or more. So the shingles' minima take the fingerprints' place, and the sets decide (:mod:`tallylog.llm.similar`).
+    Fingerprints, blocks and links are those above; the sets decide on each link. At 0.8, fingerprints differ in about 10 of 64 bits,
+    with a spread of 3, and no choice of parts is selective at 16 bits or more. So the links that lie beyond ``MAX_BITS``
+    are added by the shingles' minima, between texts that the fingerprints leave in different components (:mod:`tallylog.llm.similar`).
     """
     from tallylog.llm.similar import one_of_similar
 

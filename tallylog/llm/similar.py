@@ -1,12 +1,13 @@
-"""Near copies by the similarity of their shingle sets: MinHash bands propose pairs, the sets themselves decide.
+"""Near copies by the similarity of their shingle sets: SimHash links first, MinHash bands for what lies beyond, the sets themselves decide.
 
 Two texts link if the Jaccard similarity of their sets of word shingles is at least 4/5, computed on the sets (64-bit hashes of the
-shingles). Candidates share one of ``BANDS`` keys of ``ROWS`` minima each; a pair of similarity s shares none with probability
-(1 - s^ROWS)^BANDS, at most 7e-10 at 0.8. A SimHash radius cannot do this: at a similarity of 0.8 fingerprints of 64 bits differ in
-about 10 bits, with a spread of 3.
+shingles). Candidates are, first, what op5's operator links: fingerprints by blocks, within 4 bits (:func:`op5_simhash.set_links`).
+At a similarity of 0.8 fingerprints of 64 bits differ in about 10 bits, with a spread of 3, so further candidates, between components of
+the first, share one of ``BANDS`` keys of ``ROWS`` minima each; a pair of similarity s shares none with probability
+(1 - s^ROWS)^BANDS, at most 7e-10 at 0.8.
 
 Within a key all members are first compared with its smallest. Pairs that this leaves in different components are then
-compared one by one, so a large family costs in proportion to its size and no pair is left out.
+compared one by one, so no pair is left out.
 
 Defined results: a null or empty text has the empty set, which is similar to the empty set alone. A text of up to ``size`` words
 is one shingle. Repeated rows and null ids keep their rows until one of each component is chosen.
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import connected_components, packed, small_batches, unpacked, with_row_key, written
-from tallylog.llm.op5_simhash import _hashes
+from tallylog.llm.common import connected_components, packed, small_batches, union, unpacked, with_row_key, written, written_alone
+from tallylog.llm.op5_simhash import _hashes, _of_hashes, set_links
 
 #: Words of a shingle.
 SIZE = 5
@@ -52,17 +53,18 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with set_id (a hash of the shingle set), n (its size) and bands in place of text."""
+    """``docs`` with set_id (a hash of the shingle set), n (its size), the fingerprint and bands in place of text."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("set_id long, n int, bands array<long>")
+    @F.pandas_udf("set_id long, n int, fingerprint long, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for t in texts:
-                h = shingles(t, size)
-                out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64), len(h), band_keys(h)))
-            yield pd.DataFrame(out, columns=["set_id", "n", "bands"])
+                every = np.array(_hashes(t, size), dtype=np.uint64)
+                h = np.unique(every)
+                out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64), len(h), _of_hashes(every).astype(np.int64), band_keys(h)))
+            yield pd.DataFrame(out, columns=["set_id", "n", "fingerprint", "bands"])
 
     return docs.withColumn("_x", of("text")).select(*[c for c in docs.columns if c != "text"], "_x.*")
 
@@ -85,26 +87,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b")
 
 
+def _fits(x: Column, y: Column) -> Column:
+    return F.greatest(x, y) * 4 <= F.least(x, y) * 5
+
+
+def _named(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``rows`` of set_id with c, the component that the edges ``near`` give it."""
+    cc = connected_components(near)
+    return rows.join(cc, F.col("set_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "set_id")).drop("node", "component")
+
+
 def links(prints: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(a, b) edges over set ids whose components are those of "similarity at least 4/5". ``docs`` and ``prints`` have row keys."""
+    base = written_alone(lambda: set_links(prints))
     distinct = prints.groupBy("set_id").agg(F.min("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_k1", "_k2")).alias("row"))
     distinct = written(distinct)
     keyed = distinct.select("set_id", "n", F.explode("bands").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("set_id", "n")).alias("low")).where("members > 1").select("key", "low"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = written(keyed.join(shared, "key"))
-    need = distinct.join(met.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "row._k1", "row._k2")
+    some = union([met.select("set_id"), base.select(F.col("a").alias("set_id")), base.select(F.col("b").alias("set_id"))]).distinct()
+    need = distinct.join(some, "set_id", "left_semi").select("set_id", "row._k1", "row._k2")
     sets = written(_sets(docs.select("_k1", "_k2", "text").join(need, ["_k1", "_k2"]).dropDuplicates(["set_id"]), size))
-    fits = lambda x, y: F.greatest(x, y) * 4 <= F.least(x, y) * 5
-    first = written(met.where((F.col("set_id") != F.col("low.set_id")) & fits(F.col("n"), F.col("low.n"))).select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b")).distinct())
-    near = written(_verified(first, sets))
-    cc = written(connected_components(near))
-    named = met.join(cc, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("c"))
+    base = written(_verified(base, sets))
+    met = written(_named(met, base))
+    low = written(met.groupBy("key").agg(F.min(F.struct("set_id", "n", "c")).alias("low")))
+    apart = (F.col("c") != F.col("low.c")) & _fits(F.col("n"), F.col("low.n"))
+    first = written(met.join(low, "key").where(apart).select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b")).distinct())
+    near = written(base.unionByName(_verified(first, sets)))
+    named = _named(met.select("key", "set_id", "n", "members"), near)
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     named = written(named.join(open_keys, "key", "left_semi"))
     x = named.select("key", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     y = named.select("key", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"))
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"))).select("a", "b")
+    rest = written(rest.distinct().join(first, ["a", "b"], "left_anti"))
     return near.unionByName(_verified(rest, sets))
 
 

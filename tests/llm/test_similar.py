@@ -51,3 +51,19 @@ def test_near_dedup_takes_a_similarity_of_four_fifths(spark, docs_of):
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
     assert {x["doc_id"] for x in op5_simhash.one_of_each(docs_of(rows)).collect()} > want
     assert m.one_of_similar(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_link_by_themselves(spark, docs_of, monkeypatch):
+    """Without a single band, near copies whose fingerprints lie within op5's bits still go; the sets decide on each link."""
+    from pyspark.sql import functions as F
+
+    signed = m._signed
+    monkeypatch.setattr(m, "_signed", lambda docs, size: signed(docs, size).withColumn("bands", F.array().cast("array<long>")))
+    r = random.Random(4)
+    base = [" ".join("w%d" % r.randrange(5000) for _ in range(600)) for _ in range(8)]
+    rows = list(enumerate(base + [t + " tail" for t in base] + ["", "a b"]))
+    prints = op5_simhash.simhash([t for _, t in rows], 5)
+    close = [i for i in range(8) if bin(int(prints[i] ^ prints[i + 8]) & (1 << 64) - 1).count("1") <= op5_simhash.MAX_BITS]
+    assert close
+    got = {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()}
+    assert got == set(range(18)) - {i + 8 for i in close}
