@@ -7,7 +7,8 @@ the first, share one of ``BANDS`` keys of ``ROWS`` minima each; a pair of simila
 (1 - s^ROWS)^BANDS, at most 7e-10 at 0.8.
 
 Within a key all members are first compared with its smallest. Pairs that this leaves in different components are then
-compared one by one, so no pair is left out.
+compared one by one under keys of up to ``HOT_KEY`` members. A larger family's pairs would grow with its square, most of them far from
+similar; there only those pairs are compared that three exact bounds leave (:func:`_family_pairs`), and no similar pair is left out.
 
 Defined results: a null or empty text has the empty set, which is similar to the empty set alone. A text of up to ``size`` words
 is one shingle. Repeated rows and null ids keep their rows until one of each component is chosen.
@@ -29,6 +30,10 @@ from tallylog.llm.op5_simhash import _hashes, _of_hashes, set_links
 #: Words of a shingle.
 SIZE = 5
 BANDS, ROWS = 40, 4
+#: Members of a key up to which all its pairs are compared.
+HOT_KEY = 32
+#: Longs of a set's parity bits.
+PARITY = 8
 #: Shingles that are hashed at a time.
 _CHUNK = 1 << 11
 _rng = np.random.default_rng(5)
@@ -69,15 +74,22 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.withColumn("_x", of("text")).select(*[c for c in docs.columns if c != "text"], "_x.*")
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bits that each tell whether an odd number of the set's hashes falls on them. Two sets that differ in d hashes differ in at most d bits."""
+    on = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) % 2
+    return np.packbits(on.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """set_id and the shingle set of each row of set_id and text."""
+    """set_id, the shingle set and its parity bits for each row of set_id and text."""
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("s array<long>, p array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([shingles(t, size).view(np.int64) for t in texts], dtype=object)
+            sets = [shingles(t, size) for t in texts]
+            yield pd.DataFrame({"s": pd.Series([h.view(np.int64) for h in sets], dtype=object), "p": pd.Series([parity(h) for h in sets], dtype=object)})
 
-    return rows.select("set_id", of("text").alias("s"))
+    return rows.select("set_id", of("text").alias("_x")).select("set_id", "_x.*")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,7 +109,42 @@ def _named(rows: DataFrame, near: DataFrame) -> DataFrame:
     return rows.join(cc, F.col("set_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "set_id")).drop("node", "component")
 
 
-def links(prints: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
+def _family_pairs(members: DataFrame, sets: DataFrame, near: DataFrame) -> list[DataFrame]:
+    """Edges that complete ``near`` among ``members`` (set_id and n), and the candidates (a, b) that are left to verify.
+
+    The shingles of a set stand in one order for all, the rarest first. Similar sets x and y share 4/9 (|x| + |y|) shingles or more,
+    so the first that they share has no more than |x| - 4/9 (|x| + |y|) others of x before it, and likewise in y: ``reach`` is
+    the largest |y| that this leaves. The smaller set of a pair reaches at least its own size. Similar sets differ in at most
+    (|x| + |y|) / 9 shingles, and so in as many parity bits. A family whose members have much of their own meets nowhere.
+
+    Of each shingle the member that stands nearest to the others (the fewest before it) is compared with all first, which ties the dense middle of a
+    family together, so that the pairs compared one by one afterwards are those between different components.
+    """
+    have = members.join(sets, "set_id")
+    each = have.select("set_id", F.explode("s").alias("tok"))
+    often = written(each.groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    sorted_ = each.join(often, "tok").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("toks"))
+    own = F.col("n") - F.size("toks")
+    prefix = have.join(sorted_, "set_id").withColumn("room", F.floor(F.col("n") / 5) - own + 1).where("room > 0")
+    met = prefix.select("set_id", "n", "p", own.alias("own"), F.posexplode(F.slice("toks", 1, F.col("room").cast("int"))).alias("at", "x"))
+    # reach: 9/4 (n - before) - n, times 4 to stay whole.
+    met = written(met.select("set_id", "n", "p", F.col("x.tok").alias("tok"), (F.col("n") * 5 - (F.col("own") + F.col("at")) * 9).alias("reach4")))
+    differ = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY))
+    side = lambda df, x, *more: df.select("tok", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("reach4").alias(f"r{x}"), *[F.col(m).alias(f"{m}{x}") for m in more])
+    might = (F.col("nb") * 4 <= F.col("ra")) & (F.col("na") * 4 <= F.col("rb")) & (differ * 9 <= F.col("na") + F.col("nb"))
+    middle = met.groupBy("tok").agg(F.max_by(F.struct("set_id", "n", "p", "reach4"), F.struct(F.col("reach4") / F.col("n"), "set_id")).alias("m")).select("tok", "m.*")
+    star = side(middle, "a").join(side(met, "b"), "tok").where((F.col("a") != F.col("b")) & might)
+    star = written(star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().toDF("a", "b"))
+    star = written(_verified(star, sets))
+    met = written(_named(met, near.unionByName(star)))
+    open_ = met.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
+    met = written(met.join(open_, "tok", "left_semi"))
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    left = side(met.where("reach4 >= n * 4"), "a", "c").join(side(met, "b", "c"), "tok").where(smaller & (F.col("ca") != F.col("cb")) & might)
+    return [star, written(left.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().toDF("a", "b"))]
+
+
+def links(prints: DataFrame, docs: DataFrame, size: int = SIZE, hot_key: int = HOT_KEY) -> DataFrame:
     """(a, b) edges over set ids whose components are those of "similarity at least 4/5". ``docs`` and ``prints`` have row keys."""
     base = written_alone(lambda: set_links(prints))
     distinct = prints.groupBy("set_id").agg(F.min("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_k1", "_k2")).alias("row"))
@@ -117,11 +164,13 @@ def links(prints: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = _named(met.select("key", "set_id", "n", "members"), near)
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     named = written(named.join(open_keys, "key", "left_semi"))
-    x = named.select("key", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = named.select("key", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    few = named.where(F.col("members") <= hot_key)
+    x = few.select("key", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    y = few.select("key", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"))).select("a", "b")
-    rest = written(rest.distinct().join(first, ["a", "b"], "left_anti"))
-    return near.unionByName(_verified(rest, sets))
+    star, left = _family_pairs(named.where(F.col("members") > hot_key).select("set_id", "n").distinct(), sets, near)
+    rest = written(union([rest, left]).distinct().join(first, ["a", "b"], "left_anti"))
+    return union([near, star, _verified(rest, sets)])
 
 
 def one_of_similar(docs: DataFrame, size: int = SIZE) -> DataFrame:

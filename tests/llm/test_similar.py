@@ -67,3 +67,26 @@ def test_fingerprints_link_by_themselves(spark, docs_of, monkeypatch):
     assert close
     got = {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()}
     assert got == set(range(18)) - {i + 8 for i in close}
+
+
+def test_a_large_family_below_the_line_is_not_compared_pair_by_pair(spark, docs_of, monkeypatch):
+    """Copies of one text with edits of their own: few pairs are similar, and candidates grow with the members, not their square."""
+    verified, seen = m._verified, []
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(m, "_verified", counted)
+    r = random.Random(6)
+    base, texts = ["w%d" % r.randrange(5000) for _ in range(150)], []
+    for i in range(160):
+        copy = list(base)
+        for at in r.sample(range(150), 1 + i % 2 if i < 12 else r.randint(5, 7)):
+            copy[at] = "x%d" % r.randrange(10**6)
+        texts.append(" ".join(copy[: 150 - i % 3]))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()}
+    assert got == smallest_of_each(rows)
+    assert sum(seen) < 40 * len(rows)
