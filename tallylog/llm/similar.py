@@ -34,6 +34,8 @@ BANDS, ROWS = 40, 4
 HOT_KEY = 32
 #: Longs of a set's parity bits.
 PARITY = 8
+#: Buckets in which a family's shingles are counted (4 MB of counts), and parts of that table.
+BUCKETS, PARTS = 1 << 20, 1 << 8
 #: Shingles that are hashed at a time.
 _CHUNK = 1 << 11
 _rng = np.random.default_rng(5)
@@ -109,26 +111,63 @@ def _named(rows: DataFrame, near: DataFrame) -> DataFrame:
     return rows.join(cc, F.col("set_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "set_id")).drop("node", "component")
 
 
+def _rarity(have: DataFrame) -> np.ndarray:
+    """How many shingles of the sets ``s`` fall into each of ``BUCKETS`` buckets.
+
+    Each task counts what it reads and passes on parts of its table, so what is moved is bounded by tasks and buckets.
+    """
+    buckets, parts = BUCKETS, PARTS
+    width = buckets // parts
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(buckets, dtype=np.int64)
+        for df in batches:
+            if len(df):
+                n += np.bincount(np.concatenate(df["s"].to_numpy()) & (buckets - 1), minlength=buckets)
+        for part, here in enumerate(n.reshape(parts, width)):
+            if len(at := np.flatnonzero(here)):
+                yield pd.DataFrame({"part": [part], "at": [at], "n": [here[at]]})
+
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(np.concatenate(df["at"].to_numpy()), np.concatenate(df["n"].to_numpy()), width)
+        return pd.DataFrame({"part": df["part"].head(1), "n": [n.astype(np.uint32).tobytes()]})
+
+    counted = have.select("s").mapInPandas(of, "part int, at array<long>, n array<long>").groupBy("part").applyInPandas(add, "part int, n binary")
+    out = np.zeros((parts, width), dtype=np.uint32)
+    for row in counted.collect():
+        out[row["part"]] = np.frombuffer(row["n"], dtype=np.uint32)
+    return out.reshape(-1)
+
+
+def _first_fifth(rarity: np.ndarray):
+    """A column function: the first fifth of a set's shingles, and one more, in the order of ``rarity`` and then of their values.
+
+    Buckets that shingles share by chance change the order, not what it is good for: any order that is one for all sets is exact.
+    """
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            yield pd.Series([h[np.lexsort((h, rarity[h & (len(rarity) - 1)]))[: len(h) // 5 + 1]] for h in sets], dtype=object)
+
+    return of
+
+
 def _family_pairs(members: DataFrame, sets: DataFrame, near: DataFrame) -> list[DataFrame]:
     """Edges that complete ``near`` among ``members`` (set_id and n), and the candidates (a, b) that are left to verify.
 
     The shingles of a set stand in one order for all, the rarest first. Similar sets x and y share 4/9 (|x| + |y|) shingles or more,
     so the first that they share has no more than |x| - 4/9 (|x| + |y|) others of x before it, and likewise in y: ``reach`` is
-    the largest |y| that this leaves. The smaller set of a pair reaches at least its own size. Similar sets differ in at most
-    (|x| + |y|) / 9 shingles, and so in as many parity bits. A family whose members have much of their own meets nowhere.
+    the largest |y| that this leaves. The smaller set of a pair reaches at least its own size. So of a set's shingles a fifth and one become rows.
+    Similar sets differ in at most (|x| + |y|) / 9 shingles, and so in as many parity bits. A family whose members have much of their own meets nowhere.
 
     Of each shingle the member that stands nearest to the others (the fewest before it) is compared with all first, which ties the dense middle of a
     family together, so that the pairs compared one by one afterwards are those between different components.
     """
-    have = members.join(sets, "set_id")
-    each = have.select("set_id", F.explode("s").alias("tok"))
-    often = written(each.groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
-    sorted_ = each.join(often, "tok").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("toks"))
-    own = F.col("n") - F.size("toks")
-    prefix = have.join(sorted_, "set_id").withColumn("room", F.floor(F.col("n") / 5) - own + 1).where("room > 0")
-    met = prefix.select("set_id", "n", "p", own.alias("own"), F.posexplode(F.slice("toks", 1, F.col("room").cast("int"))).alias("at", "x"))
+    have = written(members.join(sets, "set_id"))
+    met = have.select("set_id", "n", "p", _first_fifth(_rarity(have))("s").alias("toks")).select("set_id", "n", "p", F.posexplode("toks").alias("at", "tok"))
     # reach: 9/4 (n - before) - n, times 4 to stay whole.
-    met = written(met.select("set_id", "n", "p", F.col("x.tok").alias("tok"), (F.col("n") * 5 - (F.col("own") + F.col("at")) * 9).alias("reach4")))
+    met = written(met.select("set_id", "n", "p", "tok", (F.col("n") * 5 - F.col("at") * 9).alias("reach4")))
     differ = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY))
     side = lambda df, x, *more: df.select("tok", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("reach4").alias(f"r{x}"), *[F.col(m).alias(f"{m}{x}") for m in more])
     might = (F.col("nb") * 4 <= F.col("ra")) & (F.col("na") * 4 <= F.col("rb")) & (differ * 9 <= F.col("na") + F.col("nb"))

@@ -90,3 +90,49 @@ def test_a_large_family_below_the_line_is_not_compared_pair_by_pair(spark, docs_
     got = {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()}
     assert got == smallest_of_each(rows)
     assert sum(seen) < 40 * len(rows)
+
+
+def generated(spark, run):
+    """The result of ``run``, and the most rows that a single Generate of its Spark jobs made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ids, most = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())], 0
+    for i in set(ids) - done:
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                if node.name() == "Generate" and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def family(seed, members):
+    r = random.Random(seed)
+    base, texts = ["w%d" % r.randrange(5000) for _ in range(150)], []
+    for i in range(members):
+        copy = list(base)
+        for at in r.sample(range(150), 1 + i % 2 if i < 12 else r.randint(5, 7)):
+            copy[at] = "x%d" % r.randrange(10**6)
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+def test_a_large_family_is_not_laid_out_shingle_by_shingle(spark, docs_of):
+    """A fifth of a member's shingles and one more become rows: fewer than its bands here, where it has 146 shingles."""
+    rows = family(7, 80)
+    got, made = generated(spark, lambda: {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()})
+    assert got == smallest_of_each(rows)
+    assert made <= m.BANDS * len(rows)
+
+
+def test_any_order_of_shingles_gives_the_same_components(spark, docs_of, monkeypatch):
+    """With one bucket for all shingles the order tells nothing of how rare they are, and no result changes."""
+    monkeypatch.setattr(m, "BUCKETS", 1)
+    monkeypatch.setattr(m, "PARTS", 1)
+    rarity, seen = m._rarity, []
+    monkeypatch.setattr(m, "_rarity", lambda have: seen.append(rarity(have)) or seen[-1])
+    rows = family(8, 80)
+    assert {x["doc_id"] for x in op5_simhash.one_of_near_copies(docs_of(rows)).collect()} == smallest_of_each(rows)
+    assert [len(x) for x in seen] == [1] and seen[0][0] > 32 * 100
